@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.common import table
+from orrery.llm.decontamination import op8_decontamination
+from orrery.llm.packing import op1_best_fit_packing
 from orrery.llm.quality_rules import op7_quality_rules
 from orrery.llm.secret_scan import op2_secret_scan
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secret_scan(table(spark, sf_dir, "documents"))
 
@@ -19,8 +25,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scan": op2, "op7_quality_rules": op7}
+    return {
+        "op1_best_fit_packing": op1,
+        "op2_secret_scan": op2,
+        "op7_quality_rules": op7,
+        "op8_decontamination": op8,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
