@@ -23,7 +23,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return df.checkpoint(eager=True)
+    # fresh attributes: a checkpoint keeps its plan's constraints, which in loops of joins grow without end
+    return df.select(F.inline(F.array(F.struct(*df.columns)))).checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.common import table
 from orrery.llm.decontamination import op8_decontamination
+from orrery.llm.jaccard_join import op6_ngram_jaccard_join
 from orrery.llm.packing import op1_best_fit_packing
 from orrery.llm.quality_rules import op7_quality_rules
 from orrery.llm.secret_scan import op2_secret_scan
@@ -21,6 +22,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1,
         "op2_secret_scan": op2,
+        "op6_ngram_jaccard_join": op6,
         "op7_quality_rules": op7,
         "op8_decontamination": op8,
     }
