@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ END_ID = 1
 #: Rows of one length that one task ranks, about.
 ROWS_A_GROUP = 250_000
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 Run = tuple[int, int, int, int, int, int]
@@ -47,12 +49,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of small Latin letters, and signs after it: two pieces for the vocabulary's splitting rule.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """The byte-level alphabet, by Latin-1 letter: visible bytes stand for themselves, others for 256 and up in order."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in visible]
+    signs = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary's rules never join characters across white space, so a
     text's ids are the ids of its words in order; words repeat, and each is
     encoded once.  Only ASCII blanks cut, the library handles all others.
+    Plain words, in small letters, go to the library's model at once: its
+    normalizer and splitting rule would leave them as they are.
     """
 
     def __init__(self, path: str):
@@ -60,19 +76,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.letters = byte_characters()
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, new: set[bytes]) -> None:
+        cache, model, other, cores = self.cache, self.model.tokenize, [], {}
+        for w in new:
+            text = w.decode()
+            if m := PLAIN.fullmatch(text):
+                core, signs = m.groups()
+                if core not in cores:
+                    cores[core] = array("I", [t.id for t in model(core.translate(self.letters))]).tobytes()
+                if signs not in self.signs:
+                    if len(self.signs) > CACHED_WORDS:
+                        self.signs = {"": b""}
+                    self.signs[signs] = self._whole([signs])[0]
+                cache[w] = cores[core] + self.signs[signs]
+            else:
+                other.append((w, text))
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for (w, _), ids in zip(some, self._whole([t for _, t in some]), strict=True):
+                cache[w] = ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
+        # small letters come to the same ids, but for the names of special tokens
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        new = list({w for ws in words for w in ws}.difference(self.cache))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                self.cache[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self._learn({w for ws in words for w in ws}.difference(self.cache))
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
