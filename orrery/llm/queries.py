@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from orrery.llm.common import table
 from orrery.llm.decontamination import op8_decontamination
 from orrery.llm.jaccard_join import op6_ngram_jaccard_join
+from orrery.llm.license_scan import op9_license_scan, op9_sql
 from orrery.llm.packing import op1_best_fit_packing
 from orrery.llm.quality_rules import op7_quality_rules
 from orrery.llm.secret_scan import op2_secret_scan
+from orrery.llm.toxicity import op10_toxicity
+from orrery.llm.url_filter import op5_url_filter
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_url_filter(table(spark, sf_dir, "pages"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -34,15 +41,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1,
         "op2_secret_scan": op2,
+        "op5_url_filter": op5,
         "op6_ngram_jaccard_join": op6,
         "op7_quality_rules": op7,
         "op8_decontamination": op8,
+        "op9_license_scan": op9,
+        "op10_toxicity": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scan": op9_sql()}
