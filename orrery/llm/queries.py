@@ -11,6 +11,7 @@ from orrery.llm.decontamination import op8_decontamination
 from orrery.llm.jaccard_join import op6_ngram_jaccard_join
 from orrery.llm.license_scan import op9_license_scan, op9_sql
 from orrery.llm.packing import op1_best_fit_packing
+from orrery.llm.pii import op3_pii
 from orrery.llm.quality_rules import op7_quality_rules
 from orrery.llm.secret_scan import op2_secret_scan
 from orrery.llm.toxicity import op10_toxicity
@@ -25,6 +26,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_url_filter(table(spark, sf_dir, "pages"))
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1,
         "op2_secret_scan": op2,
+        "op3_pii": op3,
         "op5_url_filter": op5,
         "op6_ngram_jaccard_join": op6,
         "op7_quality_rules": op7,
