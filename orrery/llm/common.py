@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +14,42 @@ BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; an own one only where that is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark not in _own_folders:
+        _own_folders[spark] = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+    return _own_folders[spark]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+    """Cut the lineage: write a table into the shared folder and read it.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests, local runs) one is made here.  Files go
-    when the plan that reads them is collected, if the cluster asks for that.
+    Unlike ``DataFrame.checkpoint``, the new plan knows the true size; what
+    loops of joins expect of checkpoints grows with the product of all sizes.
+    ``release`` deletes a table; all that are left go when the session ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    # fresh attributes: a checkpoint keeps its plan's constraints, which in loops of joins grow without end
-    return df.select(F.inline(F.array(F.struct(*df.columns)))).checkpoint(eager=True)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark), f"orrery-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    read = spark.read.schema(df.schema).parquet(path.toString())
+    _paths[read] = path.toString()
+    return read
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no plan needs any more."""
+    for df in tables:
+        if name := _paths.pop(df, None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_own_folders: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

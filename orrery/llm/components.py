@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint
+from orrery.llm.common import checkpoint, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,24 +15,27 @@ def components(links: DataFrame) -> DataFrame:
     follows the pointers to their ends by doubling, and contracts the links.
     """
     edges = checkpoint(links.select("a", "b").where("a <> b").distinct())
-    roots = checkpoint(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    roots = checkpoint(nodes.withColumn("root", F.col("node")))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p"))
-        up = checkpoint(up.select("node", F.least("node", "p").alias("p")))
-        while True:
+        up = checkpoint(up.select("node", F.least("node", "p").alias("p"), F.lit(True).alias("moved")))
+        while not up.where("moved").isEmpty():
             above = up.select(F.col("node").alias("p"), F.col("p").alias("q"))
-            up = checkpoint(up.join(above, "p").select("node", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-            if up.where("moved").isEmpty():
-                break
-            up = up.select("node", "p")
+            moved = up.drop("moved").join(above, "p").select("node", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved"))
+            up = _next(moved, up)
         to = up.select(F.col("node").alias("root"), "p")
-        roots = checkpoint(
-            roots.join(to, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        )
+        roots = _next(roots.join(to, "root", "left").select("node", F.coalesce("p", "root").alias("root")), roots)
         ends = edges.join(up.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a")
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
-        edges = checkpoint(
-            ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct()
-        )
+        contracted = ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct()
+        edges = _next(contracted, edges, up)
+    release(edges)
     return roots
+
+
+def _next(df: DataFrame, *old: DataFrame) -> DataFrame:
+    new = checkpoint(df)
+    release(*old)
+    return new

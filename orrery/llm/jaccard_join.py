@@ -4,8 +4,8 @@ Documents are sets of 5-word shingles; equal sets form one class, and one
 document stands for it.  Two classes link when their sets' Jaccard similarity
 reaches 0.8; the operator returns the links it needs and the components.
 
-Candidates.  Shingles have one global order: those that many documents hold
-(the frequent classes, found by counting all documents) come last.  With
+Candidates.  Shingles have one global order: those that repeat (found by
+counting all documents) come last, the frequent classes at the very end.  With
 q = n - ceil(0.8 n), two sets that link share a shingle among the first q + 1
 of both.  If that one is rare, its single-token key finds the pair.  If it is
 frequent, all shared ones are; then q' + 1 shared ones lie in the prefixes
@@ -16,7 +16,8 @@ shingles are indexed alone, frequent ones only in such combinations.
 Pairs.  All pairs within a key are never made.  Each key links its members to
 one leader (the member with the fewest rare shingles); links merge components;
 only keys whose members are still in several components go on, with another
-leader.  Keys of few members, and after ``ROUNDS`` all others, end with the
+leader.  Pairs whose sizes or parity bits rule a link out are dropped at once.
+Keys of few members, and after ``ROUNDS`` all others, end with the
 pairs across components, so every pair that could join two components is
 compared, and the components are exact.  Verification compares whole sets.
 
@@ -36,15 +37,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint
+from orrery.llm.common import checkpoint, release
 from orrery.llm.components import components
-from orrery.llm.shingles import mix, shingle_hashes
+from orrery.llm.shingles import mix, shingle_lists
 
 # The contract's threshold, 80 of 100.
 NUMER, DENOM = 8, 10
 GAP = 4
-#: A shingle is frequent if this many counted occurrences are known; at most so many are kept, the most frequent.
-FREQUENT, FREQUENT_KEPT = 48, 1 << 17
+#: Repeated shingles come after all others, by their counts; those counted so often are the frequent class.
+FREQUENT = 200
+#: Counts of at most so many shingles, the most frequent, are known; the order of the others is their hash.
+COUNTS_KEPT = 1 << 18
 #: Keys with at most so many members end with pairs at once.
 FEW = 64
 ROUNDS = 4
@@ -56,8 +59,11 @@ def missing(n: int) -> int:
     return n - -(-NUMER * n // DENOM)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text)) if text else np.empty(0, np.uint64)
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """The sorted set of each text."""
+    for found in shingle_lists(texts):
+        found = np.sort(found)
+        yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -69,8 +75,18 @@ def _batch(schema: dict, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k], v) for k, v in schema.items()], list(schema))
 
 
-_SEEN = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "token": pa.int64(), "count": pa.int64()}
-SEEN = "doc_id bigint, n bigint, cls bigint, token bigint, count bigint"
+_SEEN = {k: pa.int64() for k in ("doc_id", "n", "cls", "token", "count")} | {"parity": pa.list_(pa.int64())}
+SEEN = "doc_id bigint, n bigint, cls bigint, token bigint, count bigint, parity array<bigint>"
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes in each of 512 or more ranges, more than it has shingles.
+
+    Two sets differ in as many shingles as their parities differ in bits, at least.
+    """
+    bits = max(9, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _classes(lot: int = 1_000_000, least: int = 4):
@@ -80,23 +96,23 @@ def _classes(lot: int = 1_000_000, least: int = 4):
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
         tokens, counts = tokens[counts >= least].view(np.int64), counts[counts >= least]
         none = pa.nulls(len(tokens), pa.int64())
-        return _batch(_SEEN, doc_id=none, n=none, cls=none, token=tokens, count=counts)
+        return _batch(_SEEN, doc_id=none, n=none, cls=none, token=tokens, count=counts, parity=pa.nulls(len(tokens), _SEEN["parity"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            n, cls = [], []
-            for text in batch.column(1):
-                tokens = shingle_set(text.as_py())
+            n, cls, parity = [], [], []
+            for tokens in shingle_sets(batch.column(1).to_pylist()):
                 n.append(len(tokens))
                 cls.append(class_of(tokens))
+                parity.append(parities(tokens))
                 held.append(tokens)
                 size += len(tokens)
                 if size >= lot:
                     yield frequent(held)
                     held, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield _batch(_SEEN, doc_id=batch.column(0), n=n, cls=cls, token=none, count=none)
+            yield _batch(_SEEN, doc_id=batch.column(0), n=n, cls=cls, token=none, count=none, parity=parity)
         if held:
             yield frequent(held)
 
@@ -107,33 +123,30 @@ _KEYS = {"key": pa.int64(), "cls": pa.int64(), "n": pa.int32(), "prio": pa.int32
 KEYS = "key bigint, cls bigint, n int, prio int, combined boolean"
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Single keys, combined keys, and the rare ones per 1000 of the set.
-
-    ``frequent`` is sorted, ``place`` ranks its tokens from rarer to more frequent.
-    """
+def prefix_keys(tokens: np.ndarray, counted: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Single keys, combined keys, and the rare shingles per 1000 of the set."""
     n = len(tokens)
     q = missing(n)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-    else:
-        often = np.zeros(n, bool)
-    rare = tokens[~often]
-    prio = len(rare) * 1000 // n
+    count = np.zeros(n, np.int64)
+    if len(counted):
+        at = np.minimum(np.searchsorted(counted, tokens), len(counted) - 1)
+        count = np.where(counted[at] == tokens, counts[at], 0)
+    order = np.argsort(count, kind="stable")
+    n_rare = int((count < FREQUENT).sum())
+    prio = n_rare * 1000 // n
     none = np.empty(0, np.uint64)
     if not q:
         return none, none, prio
-    if len(rare) > q:
-        return rare[: q + 1], none, prio
-    last = tokens[often][np.argsort(place[at[often]], kind="stable")][: 2 * q + 1 - len(rare)]
+    if n_rare > q:
+        return tokens[order[: q + 1]], none, prio
+    last = tokens[order[n_rare : 2 * q + 1]]
     pairs = [mix(mix(last[:-g]) + last[g:]) for g in range(1, GAP + 1) if g < len(last)]
-    return rare, np.concatenate(pairs) if pairs else none, prio
+    return tokens[order[:n_rare]], np.concatenate(pairs) if pairs else none, prio
 
 
 def _keys(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, place = shared.value
+        counted, counts = shared.value
         seen: set[int] = set()
         for batch in batches:
             keys, cls, sizes, prios, combined = [], [], [], [], []
@@ -144,14 +157,13 @@ def _keys(shared):
                 repeat = lambda x, t: np.repeat(np.array(x, t), reps)
                 return _batch(_KEYS, key=every, cls=repeat(cls, np.int64), n=repeat(sizes, np.int32), prio=repeat(prios, np.int32), combined=repeat(combined, bool))
 
-            for text in batch.column(0):
-                tokens = shingle_set(text.as_py())
+            for tokens in shingle_sets(batch.column(0).to_pylist()):
                 c = class_of(tokens)
                 if not len(tokens) or c in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(c)
-                single, pairs, prio = prefix_keys(tokens, frequent, place)
+                single, pairs, prio = prefix_keys(tokens, counted, counts)
                 for found, mark in ((single, False), (pairs, True)):
                     if len(found):
                         keys.append(found)
@@ -196,20 +208,20 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], cls[-1], lcls[-1], ln[-1])
 
 
-def _sets(shared, bits: int):
+def _sets(shared):
     """Sets of the documents that the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            spot = batch.column(1).to_numpy()
+            spot = batch.column(0).to_numpy()
             take = np.flatnonzero((words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1))
             for lot in np.array_split(take, max(1, len(take) // 200)):
                 if len(lot):
-                    sets = [shingle_set(batch.column(2)[i].as_py()).view(np.int64) for i in lot.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(lot)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"]
-                    )
+                    sets = list(shingle_sets(batch.column(1).take(pa.array(lot)).to_pylist()))
+                    cls = pa.array([class_of(x) for x in sets], pa.int64())
+                    tokens = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([cls, tokens], ["cls", "tokens"])
 
     return run
 
@@ -230,6 +242,16 @@ def sizes_fit(n: Column, m: Column) -> Column:
     return DENOM * F.least(n, m) >= NUMER * F.greatest(n, m)
 
 
+def may_link() -> Column:
+    """Whether sizes and parities leave room for a link: sets of n and m shingles differ in (n + m) / 9 at most."""
+    n, m = F.col("n_a"), F.col("n_b")
+    bits = F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+    # parities over different ranges are not compared
+    fits = differ * (DENOM + NUMER) <= (DENOM - NUMER) * (n + m)
+    return sizes_fit(n, m) & F.when(F.size("parity_a") == F.size("parity_b"), fits).otherwise(F.lit(True))
+
+
 class JaccardJoin:
     """The join's parts for one table of documents."""
 
@@ -239,16 +261,21 @@ class JaccardJoin:
         seen = checkpoint(self.docs.mapInArrow(_classes(), SEEN))
         #: doc_id, n, cls of every row
         self.classes = seen.where("n is not null").select("doc_id", "n", "cls")
+        nodes = seen.where("n > 4").groupBy("cls").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")
+        )
+        #: cls, the document that stands for it, n and parities of every class that can link to another
+        self.nodes = checkpoint(nodes)
         often = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
-        often = often.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(FREQUENT_KEPT)
-        rows = often.collect()  # at most FREQUENT_KEPT
-        self.frequent = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+        rows = often.orderBy(F.desc("count"), "token").limit(COUNTS_KEPT).collect()
+        tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(tokens)
+        #: the repeated shingles, sorted, and their counts
+        self.counted = tokens[order], np.array([r["count"] for r in rows], np.int64)[order]
 
     def members(self) -> DataFrame:
         """Keys with two classes or more: their members and leader."""
-        order = np.argsort(self.frequent)
-        # rows came from the most frequent to the least
-        shared = self.spark.sparkContext.broadcast((self.frequent[order], (len(order) - order).astype(np.int64)))
+        shared = self.spark.sparkContext.broadcast(self.counted)  # COUNTS_KEPT pairs at most
         keys = self.docs.select("text").mapInArrow(_keys(shared), KEYS)
         single = keys.where(~F.col("combined")).drop("combined").repartition("key").sortWithinPartitions("key", "prio", "cls")
         led = single.select("key", "cls", "n").mapInArrow(_led, MEMBERS)
@@ -260,51 +287,49 @@ class JaccardJoin:
         joined = pairs.join(lead, "key").where("cls <> lcls").select("key", "cls", "n", "lcls", "ln").distinct()
         return checkpoint(led.unionByName(joined))
 
-    def sets(self, members: DataFrame) -> DataFrame:
-        """cls, n, tokens of the classes in ``members``; one document stands for each."""
-        nodes = members.select("cls").union(members.select("lcls")).distinct()
-        reps = checkpoint(
-            self.classes.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-        )
-        most = reps.count() * FILTER_BITS_A_DOC
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """cls, tokens of the documents ``doc_id``, and of a few that a filter lets pass by chance."""
+        most = ids.count() * FILTER_BITS_A_DOC
         bits = 1 << 16
         while bits < min(most, FILTER_BITS_MOST):
             bits *= 2
         spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-        words = (
-            reps.select(spot.alias("s"))
-            .groupBy(F.shiftright("s", 6).alias("w"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(63).cast("int"))).alias("m"))
-        )
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(63).cast("int"))
+        words = ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one).alias("m"))
         held = np.zeros(bits // 64, np.int64)
         for r in words.collect():  # at most FILTER_BITS_MOST / 64 rows
             held[r["w"]] = r["m"]
         shared = self.spark.sparkContext.broadcast(held.view(np.uint64))
-        found = self.docs.select("doc_id", spot.alias("spot"), "text").mapInArrow(
-            _sets(shared, bits), "doc_id bigint, tokens array<bigint>"
-        )
-        # repeated ids may bring several texts: the class is told by the set itself
-        return checkpoint(found.join(reps, "doc_id").select("cls", "n", "tokens").dropDuplicates(["cls"]))
-
-    @staticmethod
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of distinct pairs ``a``, ``b`` of classes, those that link."""
-        left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-        right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return checkpoint(both.mapInArrow(_linked, "a bigint, b bigint"))
+        # what passes by chance, or twice, is another row that no pair asks for or a pair compared twice
+        return self.docs.select(spot.alias("spot"), "text").mapInArrow(_sets(shared), "cls bigint, tokens array<bigint>")
+
+    def described(self, rows: DataFrame, cls: str, mark: str) -> DataFrame:
+        """``rows`` with size, parities and document of their class ``cls``, as columns that end in ``mark``."""
+        side = self.nodes.select(*(F.col(c).alias(cls if c == "cls" else f"{c}{mark}") for c in self.nodes.columns))
+        return rows.join(side, cls)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs ``a``, ``b`` of classes, with what describes them, those that link."""
+        left = checkpoint(pairs.where(may_link()).select("a", "b", "doc_id_a", "doc_id_b").distinct())
+        ids = checkpoint(left.select(F.col("doc_id_a").alias("doc_id")).union(left.select("doc_id_b")).distinct())
+        if ids.isEmpty():
+            return left.select("a", "b")
+        sets = checkpoint(self.sets(ids))
+        x, y = (sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        both = left.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+        links = checkpoint(both.mapInArrow(_linked, "a bigint, b bigint"))
+        release(sets, ids, left)
+        return links
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links ``a``, ``b`` of classes that span every component; ``node``, ``root`` of their ends."""
         members = self.members()
-        sets = self.sets(members)
         fit = members.where(sizes_fit(F.col("n"), F.col("ln")))
         ordered = (F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b"))
-        links = self.verified(fit.select(*ordered).distinct(), sets)
-        every = members.select("key", "cls", "n", F.lit(False).alias("led")).union(
-            members.select("key", "lcls", "ln", F.lit(True))
-        )
-        every = every.groupBy("key", "cls").agg(F.first("n").alias("n"), F.max("led").alias("led"))
+        pairs = self.described(self.described(fit.select(*ordered).distinct(), "a", "_a"), "b", "_b")
+        links = self.verified(pairs)
+        every = members.select("key", "cls", F.lit(False).alias("led")).union(members.select("key", "lcls", F.lit(True)))
+        every = every.groupBy("key", "cls").agg(F.max("led").alias("led"))
         roots = components(links)
         for turn in range(ROUNDS + 1):
             last = turn == ROUNDS
@@ -315,26 +340,26 @@ class JaccardJoin:
                 F.min("root").alias("lo"),
                 F.max("root").alias("hi"),
                 F.count_if(~F.col("led")).alias("left"),
-                F.min(F.when(~F.col("led"), F.struct("cls", "n", "root"))).alias("next"),
+                F.min(F.when(~F.col("led"), F.struct("cls", "root"))).alias("next"),
             )
             waiting = waiting.where("lo <> hi and left > 1").select("key", "left", "next")
-            every = checkpoint(rooted.where(~F.col("led")).join(waiting, "key"))
-            if every.isEmpty():
+            open_ = checkpoint(rooted.where(~F.col("led")).join(waiting, "key"))
+            if open_.isEmpty():
                 break
-            few = every.where(F.lit(last) | (F.col("left") <= FEW))
-            one = few.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            two = few.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = one.join(two, "key").where("a < b and ra <> rb").where(sizes_fit(F.col("na"), F.col("nb")))
-            many = every.where(~F.lit(last) & (F.col("left") > FEW))
-            led = many.where(F.col("root") != F.col("next.root")).where(sizes_fit(F.col("n"), F.col("next.n")))
+            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", F.col("cls").alias("a"), "root")
+            twin = few.select("key", F.col("a").alias("b"), F.col("root").alias("root_b"))
+            pairs = few.join(twin, "key").where("a < b and root <> root_b").select("a", "b")
+            many = open_.where(~F.lit(last) & (F.col("left") > FEW))
+            led = many.where(F.col("root") != F.col("next.root"))
             led = led.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b"))
-            new = self.verified(pairs.select("a", "b").union(led).distinct(), sets)
+            pairs = pairs.union(led).distinct()
+            new = self.verified(self.described(self.described(pairs, "a", "_a"), "b", "_b"))
             if not new.isEmpty():
                 links = links.union(new)
                 roots = components(links)
             if last or many.isEmpty():
                 break
-            every = many.select("key", "cls", "n", (F.col("cls") == F.col("next.cls")).alias("led"))
+            every = many.select("key", "cls", (F.col("cls") == F.col("next.cls")).alias("led"))
         return links, roots
 
     def grouped(self) -> DataFrame:
