@@ -171,11 +171,12 @@ def judge_quality(
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated_words(h, w).alias("n_repeat_words"),
         F.when(F.size(w) > 0, total / n_grams).otherwise(F.lit(0.0)).alias("score"),
+        F.monotonically_increasing_id().alias("_at"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return cols.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") >= threshold)
-    )
+    # _at keeps filters on the verdict above these columns: pushed below, they would compute the words anew in every loop
+    verdict = ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_at") >= 0)
+    return cols.withColumn("base_failed", failed).withColumn("kept", verdict).drop("_at")
 
 
 def op7_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
