@@ -1,11 +1,567 @@
-"""The engine's registered queries and the SQL that each must agree with."""
+"""The engine's registered queries over ``embeddings``, and the SQL that each must agree with.
+
+Search queries are the rows whose id is divisible by 20, against all rows.
+Distances are compared to nine decimals and reported to six.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import vectors as V
+from orrery.functions.metrics import mean_recall, percentiles, recall_at_k
+from orrery.operators import clustering as C
+from orrery.operators import graph as G
+from orrery.operators import quantize as Q
+from orrery.operators.knn import against, knn_join, nearest_points
+from orrery.plans.index import IndexConfig, VectorIndex
+
+K, RATIO, REPLICAS, LIMIT, PROBES, CHECK = 10, 0.05, 8, 118, 8, 400
+Query = Callable[[SparkSession, str], DataFrame]
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+# --- SQL that several queries share ----------------------------------------------------------------------------------
+
+E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+QS = "q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0)"
+HEADS = f"h AS (SELECT vec_id AS head_id, v AS hv FROM e WHERE vec_id % {round(1 / RATIO)} = 0)"
+
+
+def ip(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b})"
+
+
+def l2(a: str, b: str) -> str:
+    return f"round(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
+
+
+ASSIGNED = f"""a AS (SELECT head_id, vec_id, d AS head_dist, rank AS head_rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY vec_id ORDER BY d, head_id) AS rank FROM (SELECT head_id, vec_id, {l2("v", "hv")} AS d FROM e, h))
+  WHERE rank <= {REPLICAS})"""
+POSTINGS = f"""p AS (SELECT * FROM (SELECT head_id, vec_id, head_dist, row_number() OVER
+  (PARTITION BY head_id ORDER BY head_dist, vec_id) AS pos FROM a) WHERE pos <= {LIMIT})"""
+PROBED = f"""b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, head_id) AS head_rank
+  FROM (SELECT query_id, head_id, {l2("qv", "hv")} AS d FROM q, h)) WHERE head_rank <= {PROBES})"""
+CANDIDATES = f"""c AS (SELECT query_id, vec_id, head_id FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY head_rank, pos) AS n FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id, vec_id ORDER BY head_rank, pos) AS once FROM b JOIN p USING (head_id)) WHERE once = 1)
+  WHERE n <= {CHECK})"""
+INDEX = ", ".join((E, QS, HEADS, ASSIGNED, POSTINGS, PROBED, CANDIDATES))
+FOUND = f"""f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM
+  (SELECT query_id, vec_id, {l2("qv", "v")} AS d FROM c JOIN q USING (query_id) JOIN e USING (vec_id))) WHERE rank <= {K})"""
+
+
+def knn_sql(distance: str) -> str:
+    return f"""t AS (SELECT query_id, vec_id, d, rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT query_id, vec_id, {distance} AS d FROM q, e)) WHERE rank <= {K})"""
+
+
+TRUE = knn_sql(l2("qv", "v"))
+CENTER = """m AS (SELECT list(x ORDER BY pos) AS c FROM (SELECT pos, avg(x) AS x FROM
+  (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY pos))"""
+ONE_BIT = f"""o AS (SELECT vec_id, r, c, x, {ip("r", "r")} AS n, {ip("r", "x")} AS p, {ip("c", "x")} AS m FROM
+  (SELECT *, list_transform(r, lambda y: CASE WHEN y > 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS x FROM
+  (SELECT vec_id, c, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS r FROM e, m))),
+g AS (SELECT vec_id, x, c, n + 2 * m * n / p AS f_add, -2 * n / p AS f_rescale,
+  3.8 * sqrt(n) * sqrt(greatest((n * len(x) * 0.25 / (p * p) - 1) / (len(x) - 1), 0)) AS f_error FROM o)"""
+ESTIMATE = f"""s AS (SELECT query_id, vec_id, f_add + {ip("qc", "qc")} + f_rescale * {ip("qv", "x")} AS d FROM
+  (SELECT query_id, qv, list_transform(list_zip(qv, c), lambda z: z[1] - z[2]) AS qc FROM q, m), g)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def stated(e: DataFrame) -> DataFrame:
+    return e.where(F.col("vec_id") % 20 == 0).select("vec_id", "embedding")
+
+
+def heads_of(e: DataFrame) -> DataFrame:
+    return C.strided(e.select("vec_id", "embedding"), RATIO)
+
+
+def six(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def reported(pairs: DataFrame) -> DataFrame:
+    return pairs.select("query_id", "vec_id", *six("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+def shown(table: str) -> str:
+    return f"SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank FROM {table}"
+
+
+def elements(v: str = "value") -> list:
+    return [F.col("pos").cast("int").alias("pos"), F.round("x", 6).alias(v)]
+
+
+# --- exact search and vector functions --------------------------------------------------------------------------------
+
+
+@query("knn_l2", f"WITH {E}, {QS}, {TRUE} {shown('t')}")
+def knn_l2(spark, d):
+    return reported(knn_join(stated(emb(spark, d)), emb(spark, d), K))
+
+
+@query("knn_ip", f"WITH {E}, {QS}, {knn_sql('round(-' + ip('qv', 'v') + ', 9)')} {shown('t')}")
+def knn_ip(spark, d):
+    return reported(knn_join(stated(emb(spark, d)), emb(spark, d), K, "ip"))
+
+
+@query("knn_cosine", f"WITH {E}, {QS}, {knn_sql('round(1 - ' + ip('qv', 'v') + ' / sqrt(' + ip('qv', 'qv') + ' * ' + ip('v', 'v') + '), 9)')} {shown('t')}")
+def knn_cosine(spark, d):
+    return reported(knn_join(stated(emb(spark, d)), emb(spark, d), K, "cosine"))
+
+
+@query("vector_norms", f"WITH {E} SELECT vec_id, CAST(len(v) AS INT) AS dim, round(sqrt({ip('v', 'v')}), 6) AS norm FROM e")
+def vector_norms(spark, d):
+    return emb(spark, d).select("vec_id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 6).alias("norm"))
+
+
+@query("normalize_vectors", f"""WITH {E}, n AS (SELECT vec_id, v, sqrt({ip('v', 'v')}) AS n FROM e)
+SELECT vec_id, CAST(pos - 1 AS INT) AS pos, round(CASE WHEN n > 1e-10 THEN x / n ELSE x END, 6) AS value FROM
+(SELECT vec_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM n)""")
+def normalize_vectors(spark, d):
+    return emb(spark, d).select("vec_id", F.posexplode(V.normalized("embedding")).alias("pos", "x")).select("vec_id", *elements())
+
+
+@query("distance_pairs", f"""WITH {E} SELECT a.vec_id, b.vec_id AS other_id, round({l2('a.v', 'b.v')}, 6) AS l2,
+round({ip('a.v', 'b.v')}, 6) AS ip FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def distance_pairs(spark, d):
+    a = emb(spark, d).select("vec_id", F.col("embedding").alias("x"))
+    b = emb(spark, d).select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("y"))
+    both = a.join(b, F.col("other_id") == F.col("vec_id") + 1)
+    return both.select("vec_id", "other_id", F.round(V.l2_distance("x", "y"), 6).alias("l2"), F.round(V.dot("x", "y"), 6).alias("ip"))
+
+
+def means(e: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
+    """Element-wise means of each group: pre-aggregated by place before the shuffle."""
+    return e.select(*by, F.posexplode(V.doubles(vec)).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))
+
+
+def mean_vectors(e: DataFrame, by: list[str], name: str = "centroid", vec: str = "embedding") -> DataFrame:
+    """The means as one array for each group."""
+    parts = means(e, by, vec).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p"))
+    return parts.select(*by, F.col("p.x").alias(name))
+
+
+@query("global_centroid", f"WITH {E} SELECT CAST(pos - 1 AS INT) AS pos, round(avg(x), 6) AS value FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY pos")
+def global_centroid(spark, d):
+    return means(emb(spark, d), []).select(*elements())
+
+
+@query("label_centroids", f"WITH {E} SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(x), 6) AS value FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY label, pos")
+def label_centroids(spark, d):
+    return means(emb(spark, d), ["label"]).select("label", *elements())
+
+
+BY_LABEL = """l AS (SELECT label AS cluster, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM
+  (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY label, pos) GROUP BY label)"""
+NEAREST = f"n AS (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT vec_id, cluster, {l2('v', 'c')} AS d FROM e, l) GROUP BY vec_id)"
+
+
+def nearest_label(spark, d) -> DataFrame:
+    e = emb(spark, d)
+    centers = mean_vectors(e, ["label"])
+    near = nearest_points(e, centers, 1, point_id="label", point_vec="centroid")
+    return near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").cast("int").alias("cluster"), F.col("distance").alias("d"))
+
+
+@query("nearest_centroid", f"WITH {E}, {BY_LABEL}, {NEAREST} SELECT vec_id, CAST(cluster AS INT) AS cluster, round(d, 6) AS distance FROM n")
+def nearest_centroid(spark, d):
+    return nearest_label(spark, d).select("vec_id", "cluster", F.round("d", 6).alias("distance"))
+
+
+@query("kmeans_one_iteration", f"""WITH {E}, {BY_LABEL}, {NEAREST} SELECT CAST(cluster AS INT) AS cluster, CAST(pos - 1 AS INT) AS pos, round(avg(x), 6) AS value
+FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM n JOIN e USING (vec_id)) GROUP BY cluster, pos""")
+def kmeans_one_iteration(spark, d):
+    joined = nearest_label(spark, d).join(emb(spark, d).select("vec_id", "embedding"), "vec_id")
+    return means(joined, ["cluster"]).select("cluster", *elements())
+
+
+@query("cluster_balance", f"""WITH {E}, {BY_LABEL}, {NEAREST}, k AS (SELECT l.cluster, count(n.vec_id) AS size FROM l LEFT JOIN n USING (cluster) GROUP BY l.cluster)
+SELECT max(size) AS most, min(size) FILTER (WHERE size > 0) AS least, round(avg(size), 6) AS mean, round(stddev_pop(size) / avg(size), 6) AS balance FROM k""")
+def cluster_balance(spark, d):
+    labels = emb(spark, d).select(F.col("label").alias("cluster")).distinct()
+    size = labels.join(nearest_label(spark, d).groupBy("cluster").count(), "cluster", "left").select(F.coalesce("count", F.lit(0)).alias("size"))
+    return size.agg(
+        F.max("size").alias("most"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"),
+        F.round(F.avg("size"), 6).alias("mean"), F.round(F.stddev_pop("size") / F.avg("size"), 6).alias("balance"),
+    )
+
+
+@query("kmeans_objective", f"WITH {E}, {BY_LABEL}, {NEAREST} SELECT count(*) AS n, round(sum(d), 5) AS objective FROM n")
+def kmeans_objective(spark, d):
+    return nearest_label(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d"), 5).alias("objective"))
+
+
+@query("dim_variance_topk", f"""WITH {E} SELECT CAST(pos - 1 AS INT) AS pos, round(m, 6) AS mean, round(s, 6) AS variance FROM (SELECT pos, avg(x) AS m, var_pop(x) AS s
+FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY pos) ORDER BY round(s, 9) DESC, pos LIMIT 5""")
+def dim_variance_topk(spark, d):
+    each = emb(spark, d).select(F.posexplode(V.doubles("embedding")).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
+    return each.orderBy(F.round("variance", 9).desc(), "pos").limit(5).select(F.col("pos").cast("int").alias("pos"), *six("mean", "variance"))
+
+
+@query("kd_split_dim", f"""WITH {E}, u AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+t AS (SELECT pos, var_pop(x) AS s, quantile_disc(x, 0.5) AS median FROM u GROUP BY pos)
+SELECT CAST(pos - 1 AS INT) AS pos, round(s, 6) AS variance, round(median, 6) AS median FROM t ORDER BY round(s, 9) DESC, pos LIMIT 1""")
+def kd_split_dim(spark, d):
+    u = emb(spark, d).select(F.posexplode(V.doubles("embedding")).alias("pos", "x"))
+    each = u.groupBy("pos").agg(F.var_pop("x").alias("variance"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("median"))
+    return each.orderBy(F.round("variance", 9).desc(), "pos").limit(1).select(F.col("pos").cast("int").alias("pos"), *six("variance", "median"))
+
+
+@query("medoids", f"""WITH {E}, s AS (SELECT a.label, a.vec_id, round(sum({l2('a.v', 'b.v')}), 6) AS total FROM e a JOIN e b ON a.label = b.label GROUP BY a.label, a.vec_id)
+SELECT CAST(label AS INT) AS label, arg_min(vec_id, (total, vec_id)) AS vec_id, round(min(total), 5) AS total FROM s GROUP BY label""")
+def medoids(spark, d):
+    """Sums of squared distances need no pairs: n|x|^2 + sum|y|^2 - 2 <x, sum y>."""
+    e = emb(spark, d).withColumn("sq", V.dot("embedding", "embedding"))
+    sums = mean_vectors(e, ["label"], "mean").join(e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("sq").alias("sq_sum")), "label")
+    total = F.round(F.col("n") * F.col("sq") + F.col("sq_sum") - 2 * F.col("n") * V.dot("embedding", "mean"), 6)
+    each = e.join(F.broadcast(sums) if sums.count() < 10_000 else sums, "label").withColumn("total", total)
+    best = each.groupBy("label").agg(F.min(F.struct("total", "vec_id")).alias("b"))
+    return best.select("label", F.col("b.vec_id").alias("vec_id"), F.round("b.total", 5).alias("total"))
+
+
+# --- index ------------------------------------------------------------------------------------------------------------
+
+
+@query("strided_sample", f"WITH {E}, {HEADS} SELECT head_id AS vec_id FROM h")
+def strided_sample(spark, d):
+    return heads_of(emb(spark, d)).select("vec_id")
+
+
+@query("head_assign", f"WITH {E}, {HEADS}, {ASSIGNED} SELECT vec_id, head_id, round(head_dist, 6) AS head_dist, CAST(head_rank AS INT) AS head_rank FROM a")
+def head_assign(spark, d):
+    near = nearest_points(emb(spark, d), heads_of(emb(spark, d)), REPLICAS)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("head_id"), F.round("distance", 6).alias("head_dist"), F.col("rank").cast("int").alias("head_rank"))
+
+
+def postings_of(e: DataFrame) -> DataFrame:
+    return C.assign_postings(e, heads_of(e), REPLICAS, LIMIT)
+
+
+@query("posting_prune", f"WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS} SELECT head_id, CAST(pos AS INT) AS pos, vec_id, round(head_dist, 6) AS head_dist FROM p")
+def posting_prune(spark, d):
+    return postings_of(emb(spark, d)).select("head_id", F.col("pos").cast("int").alias("pos"), "vec_id", *six("head_dist"))
+
+
+@query("posting_stats", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, k AS (SELECT head_id, count(*) AS n FROM p GROUP BY head_id)
+SELECT count(*) AS n_postings, CAST(sum(n) AS BIGINT) AS n_rows, min(n) AS least, max(n) AS most FROM k""")
+def posting_stats(spark, d):
+    e = emb(spark, d)
+    return VectorIndex(config(), e, heads_of(e), postings_of(e)).posting_stats()
+
+
+@query("rearrange_postings", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS} SELECT head_id, vec_id, CAST(row_number() OVER
+(PARTITION BY head_id ORDER BY round(-{ip('v', 'hv')}, 9), vec_id) AS INT) AS pos FROM p JOIN h USING (head_id) JOIN e USING (vec_id)""")
+def rearrange_postings(spark, d):
+    e = emb(spark, d)
+    h = heads_of(e).select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("hv"))
+    rows = postings_of(e).select("head_id", "vec_id").join(h, "head_id").join(e.select("vec_id", "embedding"), "vec_id")
+    order = Window.partitionBy("head_id").orderBy(F.round(V.neg_ip("embedding", "hv"), 9), "vec_id")
+    return rows.select("head_id", "vec_id", F.row_number().over(order).alias("pos"))
+
+
+def config(**more) -> IndexConfig:
+    return IndexConfig(**({"ratio": RATIO, "replicas": REPLICAS, "posting_limit": LIMIT, "probes": PROBES, "max_check": CHECK, "heads": "strided"} | more))
+
+
+def index_of(spark, d, **more) -> VectorIndex:
+    """Postings are cut as in posting_prune: by the limit alone."""
+    e = emb(spark, d)
+    return VectorIndex(config(**more), e.select("vec_id", "embedding"), heads_of(e), postings_of(e))
+
+
+@query("head_probe", f"WITH {E}, {QS}, {HEADS}, {PROBED} SELECT query_id, head_id, CAST(head_rank AS INT) AS head_rank FROM b")
+def head_probe(spark, d):
+    return index_of(spark, d).probed(stated(emb(spark, d))).select("query_id", "head_id", F.col("head_rank").cast("int").alias("head_rank"))
+
+
+@query("ivf_search", f"WITH {INDEX}, {FOUND} {shown('f')}")
+def ivf_search(spark, d):
+    return reported(index_of(spark, d).search(stated(emb(spark, d)), K))
+
+
+@query("search_candidates", f"WITH {INDEX} SELECT query_id, vec_id, head_id FROM c")
+def search_candidates(spark, d):
+    return index_of(spark, d).candidates(stated(emb(spark, d))).select("query_id", "vec_id", "head_id")
+
+
+@query("search_stats", f"""WITH {INDEX}, r AS (SELECT query_id, count(DISTINCT head_id) AS n_postings, count(*) AS n_rows,
+CAST(sum(4 * len(qv) + 8) AS BIGINT) AS n_bytes FROM b JOIN p USING (head_id) JOIN q USING (query_id) GROUP BY query_id)
+SELECT query_id, n_postings, n_rows, n_bytes, n_checked FROM r JOIN (SELECT query_id, count(*) AS n_checked FROM c GROUP BY query_id) USING (query_id)""")
+def search_stats(spark, d):
+    return index_of(spark, d).search_stats(stated(emb(spark, d)))
+
+
+@query("ann_recall", f"""WITH {INDEX}, {FOUND}, {TRUE} SELECT t.query_id, round(count(f.vec_id) / {K}.0, 6) AS recall
+FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY t.query_id""")
+def ann_recall(spark, d):
+    e, i = emb(spark, d), index_of(spark, d)
+    return recall_at_k(i.search(stated(e), K), knn_join(stated(e), e, K), K).select("query_id", *six("recall"))
+
+
+@query("index_recall")
+def index_recall(spark, d):
+    """Mean recall of the tuned index (tree heads, all replicas) against brute force; 0.9 is the floor."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    heads = C.select_heads(e, RATIO)
+    limit = round(REPLICAS / RATIO)
+    i = VectorIndex(config(probes=24, max_check=1 << 20), e, heads, C.assign_postings(e, heads, REPLICAS, limit))
+    return mean_recall(i.search(stated(e), K), knn_join(stated(e), e, K), K)
+
+
+@query("delta_encode", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, x AS (SELECT head_id, vec_id, list_transform(list_zip(v, hv), lambda z: z[1] - z[2]) AS w
+FROM p JOIN h USING (head_id) JOIN e USING (vec_id)) SELECT head_id, vec_id, round(list_sum(w), 6) AS total, round({ip('w', 'w')}, 6) AS square FROM x""")
+def delta_encode(spark, d):
+    rows = gathered(spark, d).withColumn("w", V.minus("embedding", "centroid"))
+    return rows.select("head_id", "vec_id", F.round(V.total(F.col("w")), 6).alias("total"), F.round(V.dot("w", "w"), 6).alias("square"))
+
+
+def gathered(spark, d) -> DataFrame:
+    """Postings with their vectors and heads' vectors (``centroid``)."""
+    e = emb(spark, d)
+    h = heads_of(e).select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
+    return postings_of(e).join(h, "head_id").join(e.select("vec_id", "embedding"), "vec_id")
+
+
+@query("delta_roundtrip", f"WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS} SELECT count(*) AS n, 0.0::DOUBLE AS worst FROM p")
+def delta_roundtrip(spark, d):
+    rows = gathered(spark, d).withColumn("back", V.plus(V.minus("embedding", "centroid"), F.col("centroid")))
+    worst = F.array_max(F.transform(V.minus("back", "embedding"), lambda x: F.abs(x)))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(worst), 9).alias("worst"))
+
+
+@query("delta_search", f"WITH {INDEX}, {FOUND} {shown('f')}")
+def delta_search(spark, d):
+    i = index_of(spark, d, delta=True)
+    i.postings = gathered(spark, d).withColumn("delta", V.minus("embedding", "centroid")).drop("embedding", "centroid")
+    return reported(i.search(stated(emb(spark, d)), K))
+
+
+# --- quantizers -------------------------------------------------------------------------------------------------------
+
+
+def coded(spark, d) -> DataFrame:
+    e = emb(spark, d).select("vec_id", "embedding")
+    center = mean_vectors(e, [])  # one row
+    return Q.one_bit(e.crossJoin(F.broadcast(center)))
+
+
+@query("onebit_codes", f"WITH {E}, {CENTER}, {ONE_BIT} SELECT vec_id, array_to_string(list_transform(x, lambda y: CASE WHEN y > 0 THEN '1' ELSE '0' END), '') AS code FROM g")
+def onebit_codes(spark, d):
+    return coded(spark, d).select("vec_id", F.array_join(F.transform("code", lambda b: b.cast("string")), "").alias("code"))
+
+
+@query("onebit_factors", f"WITH {E}, {CENTER}, {ONE_BIT} SELECT vec_id, round(f_add, 6) AS f_add, round(f_rescale, 6) AS f_rescale, round(f_error, 6) AS f_error FROM g")
+def onebit_factors(spark, d):
+    return coded(spark, d).select("vec_id", *six("f_add", "f_rescale", "f_error"))
+
+
+@query("packed_sign_bytes", f"""WITH {E}, {CENTER}, {ONE_BIT}, b AS (SELECT vec_id, CAST((pos - 1) // 8 AS INT) AS byte, CASE WHEN y > 0 THEN 1 << CAST((pos - 1) % 8 AS INT) ELSE 0 END AS bit
+FROM (SELECT vec_id, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM g)) SELECT vec_id, byte, CAST(sum(bit) AS INT) AS value FROM b GROUP BY vec_id, byte""")
+def packed_sign_bytes(spark, d):
+    return coded(spark, d).select("vec_id", F.posexplode(V.packed(F.col("code"))).alias("byte", "value"))
+
+
+def estimates(spark, d) -> DataFrame:
+    q = stated(emb(spark, d)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    pairs = against(coded(spark, d), q)
+    return pairs.withColumn("estimate", Q.one_bit_l2()).withColumn("exact", V.l2_distance("query_vec", "embedding"))
+
+
+@query("onebit_distance_l2", f"WITH {E}, {QS}, {CENTER}, {ONE_BIT}, {ESTIMATE} SELECT query_id, vec_id, round(d, 5) AS estimate FROM s")
+def onebit_distance_l2(spark, d):
+    return estimates(spark, d).select("query_id", "vec_id", F.round("estimate", 5).alias("estimate"))
+
+
+@query("onebit_distance_ip", f"WITH {E}, {QS}, {CENTER}, {ONE_BIT} SELECT query_id, vec_id, round(-{ip('c', 'qv')} + f_rescale / 2 * {ip('qv', 'x')}, 5) AS estimate FROM q, g")
+def onebit_distance_ip(spark, d):
+    return estimates(spark, d).select("query_id", "vec_id", F.round(Q.one_bit_ip(), 5).alias("estimate"))
+
+
+@query("onebit_correlation", f"WITH {E}, {QS}, {CENTER}, {ONE_BIT}, {ESTIMATE} SELECT round(corr(s.d, {l2('qv', 'v')}), 5) AS correlation FROM s JOIN q USING (query_id) JOIN e USING (vec_id)")
+def onebit_correlation(spark, d):
+    return estimates(spark, d).agg(F.round(F.corr("estimate", "exact"), 5).alias("correlation"))
+
+
+@query("onebit_rerank", f"""WITH {E}, {QS}, {CENTER}, {ONE_BIT}, {ESTIMATE}, w AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER
+(PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS n FROM s) WHERE n <= {K * 5}), t AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
+FROM (SELECT query_id, vec_id, {l2('qv', 'v')} AS d FROM w JOIN q USING (query_id) JOIN e USING (vec_id))) {shown('t')} WHERE rank <= {K}""")
+def onebit_rerank(spark, d):
+    by = Window.partitionBy("query_id")
+    near = estimates(spark, d).withColumn("n", F.row_number().over(by.orderBy(F.round("estimate", 9), "vec_id"))).where(F.col("n") <= K * 5)
+    near = near.withColumn("distance", F.round("exact", 9))
+    return reported(near.withColumn("rank", F.row_number().over(by.orderBy("distance", "vec_id"))).where(F.col("rank") <= K))
+
+
+def _multi(name: str, bits: int):
+    @query(f"{name}_{bits}bit")
+    def run(spark, d):
+        i = index_of(spark, d, bits=bits)
+        i.postings = i.postings.join(Q.multi_bit(gathered(spark, d), bits), ["head_id", "vec_id"])
+        e = emb(spark, d)
+        if name == "coded_search":
+            return reported(i.search_coded(stated(e), K))
+        if name == "rerank_search":
+            return reported(i.search(stated(e), K))
+        centers = i.heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
+        rows = i.postings.join(centers, "head_id").join(e.select("vec_id", "embedding"), "vec_id")
+        away = V.minus(Q.reconstructed(bits), F.col("embedding"))
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(away, away)), 6).alias("mean_square"), F.round(F.avg("r_square"), 6).alias("residual"))
+
+    return run
+
+
+for _bits in (1, 2, 4):
+    for _name in ("coded_search", "rerank_search", "reconstruct_error"):
+        _multi(_name, _bits)
+
+
+@query("size_accounting", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, t AS (SELECT count(*) AS n, CAST(sum(4 * len(v)) AS BIGINT) AS raw FROM p JOIN e USING (vec_id))
+SELECT bits, n AS n_rows, raw AS raw_bytes, CAST(n * (ceil(64 * bits / 8.0) + 16) AS BIGINT) AS code_bytes, round(raw / (n * (ceil(64 * bits / 8.0) + 16)), 6) AS ratio
+FROM t, (VALUES (1), (2), (4)) b(bits)""")
+def size_accounting(spark, d):
+    rows = gathered(spark, d).select(F.size("embedding").alias("dim"), F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("bits"))
+    sums = rows.groupBy("bits").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("dim").cast("bigint") * 4).alias("raw_bytes"),
+        F.sum((F.ceil(F.col("dim") * F.col("bits") / 8) + 16).cast("bigint")).alias("code_bytes"),
+    )
+    return sums.withColumn("ratio", F.round(F.col("raw_bytes") / F.col("code_bytes"), 6))
+
+
+# --- graphs and trees -------------------------------------------------------------------------------------------------
+
+EDGES = f"""x AS (SELECT src, dst, d, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM
+  (SELECT a.vec_id AS src, b.vec_id AS dst, {l2('a.v', 'b.v')} AS d FROM e a, e b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 8)"""
+
+
+def edges_of(spark, d) -> DataFrame:
+    return G.exact_graph(emb(spark, d), 8)
+
+
+@query("knn_graph_exact", f"WITH {E}, {EDGES} SELECT src, dst, round(d, 6) AS dist, CAST(rank AS INT) AS rank FROM x")
+def knn_graph_exact(spark, d):
+    return edges_of(spark, d).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("nn_of_nn_candidates", f"WITH {E}, {EDGES} SELECT DISTINCT a.src, b.dst FROM x a JOIN x b ON a.dst = b.src WHERE a.src <> b.dst")
+def nn_of_nn_candidates(spark, d):
+    return G.neighbours_of_neighbours(edges_of(spark, d))
+
+
+@query("graph_degree_stats", f"WITH {E}, {EDGES}, k AS (SELECT dst, count(*) AS n FROM x GROUP BY dst) SELECT count(*) AS n_nodes, CAST(sum(n) AS BIGINT) AS n_edges, max(n) AS most, round(avg(n), 6) AS mean FROM k")
+def graph_degree_stats(spark, d):
+    n = edges_of(spark, d).groupBy("dst").count()
+    return n.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("count").alias("n_edges"), F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"))
+
+
+@query("refined_graph", f"WITH {E}, {EDGES} SELECT src, dst, round(d, 6) AS dist, CAST(rank AS INT) AS rank FROM x")
+def refined_graph(spark, d):
+    """An exact graph is a fixed point of refinement."""
+    e = emb(spark, d)
+    return G.refine(edges_of(spark, d), e, 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("rng_prune")
+def rng_prune(spark, d):
+    e = emb(spark, d).select("vec_id", "embedding")
+    return G.prune_relative(edges_of(spark, d), e, 8).select("src", "dst", *six("dist"), "rank")
+
+
+@query("graph_search")
+def graph_search(spark, d):
+    e = emb(spark, d).select("vec_id", "embedding")
+    heads = heads_of(e)
+    return reported(G.graph_search(stated(e), heads, G.exact_graph(heads, 16), K))
+
+
+def _leaves(name: str, make):
+    @query(name)
+    def run(spark, d):
+        e = emb(spark, d)
+        tree = make(*C.sampled(e, C.SAMPLE_ROWS))
+        return C.memberships(e, tree)
+
+    return run
+
+
+_leaves("bktree_leaves", lambda ids, x: C.bk_tree(ids, x))
+_leaves("kdtree_leaves", lambda ids, x: C.split_tree(x, "kd", 100))
+_leaves("tptree_leaves", lambda ids, x: C.split_tree(x, "tp", 200))
+
+
+@query("tree_graph")
+def tree_graph(spark, d):
+    """Neighbours within the leaves of four projection trees, the nearest eight kept."""
+    e = emb(spark, d)
+    ids, x = C.sampled(e, C.SAMPLE_ROWS)
+    members = [C.memberships(e, C.split_tree(x, "tp", 100, seed=s)).withColumn("tree_id", F.lit(s)) for s in range(4)]
+    every = members[0]
+    for m in members[1:]:
+        every = every.unionByName(m)
+    return G.leaf_graph(every, e, 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("hbc_heads")
+def hbc_heads(spark, d):
+    return C.select_heads(emb(spark, d), RATIO).select("vec_id")
+
+
+@query("balanced_kmeans")
+def balanced_kmeans(spark, d):
+    """Centers from a bounded sample, sizes over all rows."""
+    e = emb(spark, d)
+    _, x = C.sampled(e, 10_000)
+    model = C.auto_balanced(x[:1000], 10)
+    centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.centers)], "cluster bigint, center array<double>")
+    near = nearest_points(e, centers, 1, point_id="cluster", point_vec="center")
+    return near.groupBy(F.col("vec_id").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("distance"), 6).alias("objective"))
+
+
+@query("latency_percentiles", """SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean,
+quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""")
+def latency_percentiles(spark, d):
+    found = percentiles(spark.read.parquet(f"{d}/events.parquet"), "value", ["event_type"])
+    return found.withColumn("mean", F.round("mean", 6))
+
+
+@query("stored_index_search")
+def stored_index_search(spark, d):
+    """Built, saved, loaded and searched; the same rows as ivf_search."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-index-")
+    path = f"{folder}/index-{uuid.uuid4().hex}"
+    index_of(spark, d).save(path)
+    return reported(VectorIndex.load(spark, path).search(stated(emb(spark, d)), K))
+
+
+_sql["stored_index_search"] = _sql["ivf_search"]
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
