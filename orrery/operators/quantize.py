@@ -131,7 +131,8 @@ def multi_bit(rows: DataFrame, bits: int) -> DataFrame:
     """Codes and factors of rows head_id, vec_id, embedding, centroid."""
     if bits not in (1, 2, 4):
         raise ValueError("bits must be 1, 2 or 4")
-    return rows.select("head_id", "vec_id", "embedding", "centroid").mapInArrow(_encoded(bits), CODES)
+    ids = (F.col(c).cast("bigint").alias(c) for c in ("head_id", "vec_id"))
+    return rows.select(*ids, "embedding", "centroid").mapInArrow(_encoded(bits), CODES)
 
 
 def multi_bit_distance(bits: int, metric: str = "l2", query: str = "query_vec", centroid: str = "centroid") -> Column:

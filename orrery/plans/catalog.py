@@ -230,7 +230,7 @@ def kd_split_dim(spark, d):
 
 
 @query("medoids", f"""WITH {E}, s AS (SELECT a.label, a.vec_id, round(sum({l2('a.v', 'b.v')}), 6) AS total FROM e a JOIN e b ON a.label = b.label GROUP BY a.label, a.vec_id)
-SELECT CAST(label AS INT) AS label, arg_min(vec_id, (total, vec_id)) AS vec_id, round(min(total), 5) AS total FROM s GROUP BY label""")
+SELECT CAST(label AS INT) AS label, arg_min(vec_id, (total, vec_id)) AS vec_id, round(min(total), 3) AS total FROM s GROUP BY label""")
 def medoids(spark, d):
     """Sums of squared distances need no pairs: n|x|^2 + sum|y|^2 - 2 <x, sum y>."""
     e = emb(spark, d).withColumn("sq", V.dot("embedding", "embedding"))
@@ -238,7 +238,7 @@ def medoids(spark, d):
     total = F.round(F.col("n") * F.col("sq") + F.col("sq_sum") - 2 * F.col("n") * V.dot("embedding", "mean"), 6)
     each = e.join(F.broadcast(sums) if sums.count() < 10_000 else sums, "label").withColumn("total", total)
     best = each.groupBy("label").agg(F.min(F.struct("total", "vec_id")).alias("b"))
-    return best.select("label", F.col("b.vec_id").alias("vec_id"), F.round("b.total", 5).alias("total"))
+    return best.select("label", F.col("b.vec_id").alias("vec_id"), F.round("b.total", 3).alias("total"))
 
 
 # --- index ------------------------------------------------------------------------------------------------------------

@@ -47,9 +47,9 @@ class _Reader(DataSourceReader):
     def __init__(self, kind: str, options: dict):
         self.kind, self.path = kind, options["path"]
         self.type = "<i4" if kind == "ivecs" or options.get("dtype") == "int32" else "<f4"
-        self.offset = int(options.get("idOffset", 0))
-        self.most = int(options["maxRows"]) if "maxRows" in options else None
-        self.rows_a_part = int(options.get("rowsPerPartition", ROWS_A_PART))
+        self.offset = int(options.get("idoffset", 0))
+        self.most = int(options["maxrows"]) if "maxrows" in options else None
+        self.rows_a_part = int(options.get("rowsperpartition", ROWS_A_PART))
 
     def _shape(self) -> tuple[int, int, int, int]:
         import os
@@ -139,10 +139,10 @@ class _VectorFiles(DataSource):
         return "vec_id bigint, neighbors array<int>" if whole else "vec_id bigint, embedding array<float>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.kind, dict(self.options))
+        return _Reader(self.kind, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.kind, dict(self.options))
+        return _Writer(self.kind, {k.lower(): v for k, v in self.options.items()})
 
 
 class VecBin(_VectorFiles):
