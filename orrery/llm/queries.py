@@ -14,6 +14,7 @@ from orrery.llm.packing import op1_best_fit_packing
 from orrery.llm.pii import op3_pii
 from orrery.llm.quality_rules import op7_quality_rules
 from orrery.llm.secret_scan import op2_secret_scan
+from orrery.llm.substring_dedup import op4_substring_dedup
 from orrery.llm.toxicity import op10_toxicity
 from orrery.llm.url_filter import op5_url_filter
 
@@ -30,6 +31,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_pii(table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_url_filter(table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1,
         "op2_secret_scan": op2,
         "op3_pii": op3,
+        "op4_substring_dedup": op4,
         "op5_url_filter": op5,
         "op6_ngram_jaccard_join": op6,
         "op7_quality_rules": op7,
