@@ -16,10 +16,11 @@ shingles are indexed alone, frequent ones only in such combinations.
 Pairs.  All pairs within a key are never made.  Each key links its members to
 one leader (the member with the fewest rare shingles); links merge components;
 only keys whose members are still in several components go on, with another
-leader.  Pairs whose sizes or parity bits rule a link out are dropped at once.
-Keys of few members, and after ``ROUNDS`` all others, end with the
-pairs across components, so every pair that could join two components is
-compared, and the components are exact.  Verification compares whole sets.
+leader.  Then the members of a key of up to ``FEW``, and after
+``ROUNDS`` of all others, are compared where they are together, those in
+different components only, by size and parity bits: only the pairs that these
+leave become rows.  So every pair that could join two components is compared,
+and the components are exact.  Verification compares whole sets.
 
 Defined results: null text or one without words has an empty set, links with
 nothing and is its own component; with fewer than five words the whole
@@ -49,7 +50,7 @@ FREQUENT = 200
 #: Counts of at most so many shingles, the most frequent, are known; the order of the others is their hash.
 COUNTS_KEPT = 1 << 18
 #: Keys with at most so many members end with pairs at once.
-FEW = 64
+FEW = 4096
 ROUNDS = 4
 FILTER_BITS_A_DOC, FILTER_BITS_MOST = 16, 1 << 27
 
@@ -89,7 +90,7 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _classes(lot: int = 1_000_000, least: int = 4):
+def _classes(lot: int = 4_000_000, least: int = 3):
     """A row per document, and a row per shingle that ``least`` documents of a lot hold."""
 
     def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -208,6 +209,78 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], cls[-1], lcls[-1], ln[-1])
 
 
+def _folded(parity: np.ndarray) -> np.ndarray:
+    """Parities over ranges twice as wide."""
+    bits = np.unpackbits(parity.view(np.uint8), axis=1).reshape(len(parity), -1, 2)
+    return np.packbits(bits[:, :, 0] ^ bits[:, :, 1], axis=1).view(np.uint64)
+
+
+def near_pairs(n: np.ndarray, root: np.ndarray, parity: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a key's members in different components whose sizes and parities leave room for a link."""
+    words = np.array([len(p) for p in parity])
+    for size in np.unique(words):
+        own = np.flatnonzero(words == size)
+        own = own[np.argsort(n[own], kind="stable")]
+        mine = np.array([parity[i] for i in own]).view(np.uint64)
+        # sets that may link are of like sizes: their parities have as many ranges, or twice as many
+        wider = np.flatnonzero(words == 2 * size)
+        wider = wider[np.argsort(n[wider], kind="stable")]
+        others = [(own, mine)] + ([(wider, _folded(np.array([parity[i] for i in wider])))] if len(wider) else [])
+        for other, theirs in others:
+            step = max(1, (1 << 21) // (len(other) * int(size)))
+            for at in range(0, len(own), step):
+                part = slice(at, at + step)
+                first = at + 1 if other is own else 0
+                last = np.searchsorted(n[other], n[own[part]][-1] * DENOM // NUMER, side="right")
+                if first >= last:
+                    continue
+                differ = np.bitwise_count(mine[part, None] ^ theirs[None, first:last]).sum(axis=2)
+                a, b = own[part][:, None], other[None, first:last]
+                both = n[a] + n[b]
+                fits = (differ * (DENOM + NUMER) <= (DENOM - NUMER) * both) & (root[a] != root[b])
+                fits &= DENOM * np.minimum(n[a], n[b]) >= NUMER * np.maximum(n[a], n[b])
+                if other is own:
+                    fits &= np.arange(first, last)[None] > np.arange(at, at + len(a))[:, None]
+                i, j = np.nonzero(fits)
+                if len(i):
+                    yield a[i, 0], b[0, j]
+
+
+PAIRED = "a bigint, b bigint, doc_id_a bigint, doc_id_b bigint"
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, cls, n, root, doc_id, parity come sorted by key; a key's members are compared as they are together."""
+
+    def compared(cls, n, root, doc, parity) -> Iterator[pa.RecordBatch]:
+        cls, n, root, doc = (np.array(x, np.int64) for x in (cls, n, root, doc))
+        for i, j in near_pairs(n, root, parity):
+            swap = cls[i] > cls[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            cols = [pa.array(x, pa.int64()) for x in (cls[i], cls[j], doc[i], doc[j])]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "doc_id_a", "doc_id_b"])
+
+    held: list[list] = [[], [], [], [], []]
+    last = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cols = [batch.column(k).to_numpy() for k in range(1, 5)]
+        parity = [p.values.to_numpy() for p in batch.column(5)]
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if keys[a] != last and held[0]:
+                yield from compared(*held)
+                held = [[], [], [], [], []]
+            last = keys[a]
+            for k, c in enumerate(cols):
+                held[k].extend(c[a:b])
+            held[4].extend(parity[a:b])
+    if held[0]:
+        yield from compared(*held)
+
+
 def _sets(shared):
     """Sets of the documents that the filter may hold."""
 
@@ -309,8 +382,8 @@ class JaccardJoin:
         return rows.join(side, cls)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs ``a``, ``b`` of classes, with what describes them, those that link."""
-        left = checkpoint(pairs.where(may_link()).select("a", "b", "doc_id_a", "doc_id_b").distinct())
+        """Of pairs ``a``, ``b`` of classes, with their documents, those that link."""
+        left = checkpoint(pairs.select("a", "b", "doc_id_a", "doc_id_b").distinct())
         ids = checkpoint(left.select(F.col("doc_id_a").alias("doc_id")).union(left.select("doc_id_b")).distinct())
         if ids.isEmpty():
             return left.select("a", "b")
@@ -327,7 +400,7 @@ class JaccardJoin:
         fit = members.where(sizes_fit(F.col("n"), F.col("ln")))
         ordered = (F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b"))
         pairs = self.described(self.described(fit.select(*ordered).distinct(), "a", "_a"), "b", "_b")
-        links = self.verified(pairs)
+        links = self.verified(pairs.where(may_link()))
         every = members.select("key", "cls", F.lit(False).alias("led")).union(members.select("key", "lcls", F.lit(True)))
         every = every.groupBy("key", "cls").agg(F.max("led").alias("led"))
         roots = components(links)
@@ -346,14 +419,14 @@ class JaccardJoin:
             open_ = checkpoint(rooted.where(~F.col("led")).join(waiting, "key"))
             if open_.isEmpty():
                 break
-            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", F.col("cls").alias("a"), "root")
-            twin = few.select("key", F.col("a").alias("b"), F.col("root").alias("root_b"))
-            pairs = few.join(twin, "key").where("a < b and root <> root_b").select("a", "b")
+            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", "cls", "root")
+            few = few.join(self.nodes, "cls").select("key", "cls", "n", "root", "doc_id", "parity")
+            near = few.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, PAIRED)
             many = open_.where(~F.lit(last) & (F.col("left") > FEW))
             led = many.where(F.col("root") != F.col("next.root"))
-            led = led.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b"))
-            pairs = pairs.union(led).distinct()
-            new = self.verified(self.described(self.described(pairs, "a", "_a"), "b", "_b"))
+            led = led.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b")).distinct()
+            led = self.described(self.described(led, "a", "_a"), "b", "_b").where(may_link())
+            new = self.verified(near.union(led.select("a", "b", "doc_id_a", "doc_id_b")))
             if not new.isEmpty():
                 links = links.union(new)
                 roots = components(links)
