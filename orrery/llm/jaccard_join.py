@@ -52,6 +52,8 @@ COUNTS_KEPT = 1 << 18
 #: Keys with at most so many members end with pairs at once.
 FEW = 4096
 ROUNDS = 4
+#: Pairs that a task remembers; beyond that it starts anew, and tells some twice.
+TOLD = 500_000
 FILTER_BITS_A_DOC, FILTER_BITS_MOST = 16, 1 << 27
 
 
@@ -250,13 +252,25 @@ PAIRED = "a bigint, b bigint, doc_id_a bigint, doc_id_b bigint"
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, cls, n, root, doc_id, parity come sorted by key; a key's members are compared as they are together."""
+    """Rows key, cls, n, root, doc_id, parity come sorted by key; a key's members are compared as they are together.
+
+    A pair shares many keys: a task remembers what it has told.
+    """
+    told: set[tuple[int, int]] = set()
 
     def compared(cls, n, root, doc, parity) -> Iterator[pa.RecordBatch]:
         cls, n, root, doc = (np.array(x, np.int64) for x in (cls, n, root, doc))
         for i, j in near_pairs(n, root, parity):
             swap = cls[i] > cls[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
+            pairs = list(zip(cls[i].tolist(), cls[j].tolist(), strict=True))
+            new = np.array([p not in told for p in pairs])
+            if len(told) > TOLD:
+                told.clear()
+            told.update(pairs)
+            i, j = i[new], j[new]
+            if not len(i):
+                continue
             cols = [pa.array(x, pa.int64()) for x in (cls[i], cls[j], doc[i], doc[j])]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b", "doc_id_a", "doc_id_b"])
 
@@ -419,9 +433,12 @@ class JaccardJoin:
             open_ = checkpoint(rooted.where(~F.col("led")).join(waiting, "key"))
             if open_.isEmpty():
                 break
-            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", "cls", "root")
-            few = few.join(self.nodes, "cls").select("key", "cls", "n", "root", "doc_id", "parity")
-            near = few.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, PAIRED)
+            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", "cls", "root", "next")
+            few = few.join(self.nodes, "cls")
+            # keys of the same classes meet in some tasks, which tell a pair once each
+            spread = F.pmod(F.xxhash64("key"), F.lit(max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+            few = few.repartition("next.cls", spread).sortWithinPartitions("key")
+            near = few.select("key", "cls", "n", "root", "doc_id", "parity").mapInArrow(_paired, PAIRED)
             many = open_.where(~F.lit(last) & (F.col("left") > FEW))
             led = many.where(F.col("root") != F.col("next.root"))
             led = led.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b")).distinct()
