@@ -28,7 +28,7 @@ LEAST_WORDS = 50
 SYMBOLS = r"[#*$%&|<>]"
 
 BUCKETS = 1 << 15
-THRESHOLD = -0.12
+THRESHOLD = -0.08
 TARGET_ROWS = 100_000
 SMOOTHING = 1.0
 
