@@ -41,3 +41,8 @@ def percentiles(values: DataFrame, column: str, by: list[str], points=(0.5, 0.95
 def throughput(values: DataFrame, seconds: str) -> DataFrame:
     """Queries a second over the sum of their times."""
     return values.agg((F.count(seconds) / F.sum(seconds)).alias("qps"))
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """Metrics as CSV with a header, for reports."""
+    metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -75,6 +75,13 @@ def prune_relative(edges: DataFrame, vectors: DataFrame, degree: int, factor: fl
     return edges.join(ends, "dst").groupBy("src").applyInPandas(keep, "src bigint, dst bigint, dist double, rank int")
 
 
+def refine_and_prune(edges: DataFrame, vectors: DataFrame, degree: int, wide: int, rounds: int = 2) -> DataFrame:
+    """Rounds of expansion to ``wide`` candidates and relative-neighbourhood pruning, all nodes at once in each."""
+    for _ in range(rounds):
+        edges = prune_relative(refine(edges, vectors, wide).select("src", "dst", "dist"), vectors, degree)
+    return edges
+
+
 def _best_first(shared, k: int, entries: int, max_checks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, links = shared.value

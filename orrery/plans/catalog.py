@@ -18,7 +18,7 @@ from orrery.functions.metrics import mean_recall, percentiles, recall_at_k
 from orrery.operators import clustering as C
 from orrery.operators import graph as G
 from orrery.operators import quantize as Q
-from orrery.operators.knn import against, knn_join, nearest_points
+from orrery.operators.knn import against, knn_join, nearest_points, ranked
 from orrery.plans.index import IndexConfig, VectorIndex
 
 K, RATIO, REPLICAS, LIMIT, PROBES, CHECK = 10, 0.05, 8, 118, 8, 400
@@ -522,6 +522,79 @@ def tree_graph(spark, d):
     return G.leaf_graph(every, e, 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
 
 
+@query("kdtree_search")
+def kdtree_search(spark, d):
+    """The nearest rows of the query's own leaf, in each of four trees over random halves of the dimensions."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    ids, x = C.sampled(e, C.SAMPLE_ROWS)
+    q = stated(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    pairs = None
+    for seed in range(4):
+        tree = C.split_tree(x, "tp", 120, top=x.shape[1] // 2, tries=4, seed=seed) if seed else C.split_tree(x, "kd", 120)
+        leaves = C.memberships(e, tree)
+        mine = leaves.join(q, F.col("vec_id") == F.col("query_id")).select("query_id", "query_vec", "node_id")
+        met = mine.join(leaves, "node_id").select("query_id", "query_vec", "vec_id")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    near = pairs.dropDuplicates(["query_id", "vec_id"]).join(e, "vec_id")
+    near = near.withColumn("distance", F.round(V.l2_distance("query_vec", "embedding"), 9))
+    return reported(ranked(near, K))
+
+
+@query("pruned_graph")
+def pruned_graph(spark, d):
+    """Tree-seeded neighbours, refined and pruned twice."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    return G.refine_and_prune(edges_of(spark, d), e, 8, 16).select("src", "dst", *six("dist"), "rank")
+
+
+# --- comparisons of settings: a row per setting ------------------------------------------------------------------------
+
+
+def _recalls(settings: list[tuple], search, truth: DataFrame, names: list[str]) -> DataFrame:
+    found = None
+    for values in settings:
+        row = mean_recall(search(*values), truth, K).select(*(F.lit(v).alias(n) for n, v in zip(names, values, strict=True)), "n_queries", *six("recall"))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query("probe_sweep")
+def probe_sweep(spark, d):
+    """Recall by heads probed and candidates checked."""
+    e = emb(spark, d)
+    q, truth = stated(e), knn_join(stated(e), e, K)
+    grid = [(p, c) for p in (4, 8, 16) for c in (100, 400)]
+    return _recalls(grid, lambda p, c: index_of(spark, d, probes=p, max_check=c).search(q, K), truth, ["probes", "max_check"])
+
+
+def _coded_index(spark, d, bits: int, **more) -> VectorIndex:
+    i = index_of(spark, d, bits=bits, probes=16, **more)
+    if bits:
+        i.postings = i.postings.join(Q.multi_bit(gathered(spark, d), bits), ["head_id", "vec_id"])
+    return i
+
+
+@query("quantization_compare")
+def quantization_compare(spark, d):
+    """Recall of the codes' own ranking by bits; 0 is exact distances."""
+    e = emb(spark, d)
+    q, truth = stated(e), knn_join(stated(e), e, K)
+
+    def search(bits):
+        i = _coded_index(spark, d, bits)
+        return i.search_coded(q, K) if bits else i.search(q, K)
+
+    return _recalls([(0,), (1,), (2,), (4,)], search, truth, ["bits"])
+
+
+@query("rerank_sweep")
+def rerank_sweep(spark, d):
+    """Recall of 1-bit codes by how many times k candidates are ranked again."""
+    e = emb(spark, d)
+    q, truth = stated(e), knn_join(stated(e), e, K)
+    return _recalls([(2,), (5,), (10,)], lambda r: _coded_index(spark, d, 1, rerank=r).search(q, K), truth, ["rerank"])
+
+
 @query("hbc_heads")
 def hbc_heads(spark, d):
     return C.select_heads(emb(spark, d), RATIO).select("vec_id")

@@ -71,3 +71,18 @@ def test_tree_graph_is_a_subset_of_all_pairs(spark, sf_dir):
     exact = {(r["src"], r["rank"]): r["dist"] for r in QUERIES["knn_graph_exact"](spark, sf_dir).collect()}
     for r in QUERIES["tree_graph"](spark, sf_dir).collect():
         assert r["src"] != r["dst"] and r["dist"] >= exact[r["src"], r["rank"]] - 1e-6
+
+
+def test_settings_compare_as_they_should(spark, sf_dir):
+    bits = {r["bits"]: r["recall"] for r in QUERIES["quantization_compare"](spark, sf_dir).collect()}
+    assert bits[0] >= bits[4] > bits[1] and bits[4] >= 0.7
+    probes = {(r["probes"], r["max_check"]): r["recall"] for r in QUERIES["probe_sweep"](spark, sf_dir).collect()}
+    assert probes[16, 400] >= probes[4, 100]
+    again = {r["rerank"]: r["recall"] for r in QUERIES["rerank_sweep"](spark, sf_dir).collect()}
+    assert again[10] >= again[2]
+
+
+def test_tree_search_finds_the_query_itself(spark, sf_dir):
+    rows = QUERIES["kdtree_search"](spark, sf_dir).where("rank = 1").collect()
+    assert len(rows) == 25 and all(r["query_id"] == r["vec_id"] for r in rows)
+    assert QUERIES["pruned_graph"](spark, sf_dir).where("rank > 8").count() == 0
