@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -108,7 +109,6 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _ITEMS = pa.list_(pa.int64())
-FOUND = "n_words bigint, runs array<struct<start:int,end:int>>, items array<bigint>"
 
 
 def _search(shared, keep: int):
@@ -159,12 +159,12 @@ def find_leaks(
         F.lit(None).cast("array<struct<start:int,end:int>>").alias("_runs"),
         F.lit(None).cast("array<bigint>").alias("_items"),
     )
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
+    schema = T.StructType([*state.schema.fields, T.StructField("_n", T.LongType())])
     for k in range(blocks):
         some = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
         items = [(r["item"], r["text"].encode()) for r in some.collect()]  # about block_chars characters
         shared = sc.broadcast(matchers(items, window))
-        state = state.drop("_n").mapInArrow(_search(shared, len(kept)), f"{kinds}, _n bigint")
+        state = state.drop("_n").mapInArrow(_search(shared, len(kept)), schema)
     return state.select(
         *(F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)),
         F.col("_n").alias("n_words"),

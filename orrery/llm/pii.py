@@ -26,6 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -334,7 +335,11 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], ORDER[s[2]], s[1])))
 
 
-FOUND = ", ".join(["base string", "spans string", *(f"n_{k} bigint" for k in KINDS), "redacted string"])
+FOUND = [
+    *(T.StructField(c, T.StringType()) for c in ("base", "spans")),
+    *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
+    T.StructField("redacted", T.StringType()),
+]
 
 
 def _find(shared, redact: bool):
@@ -364,8 +369,8 @@ def _find(shared, redact: bool):
 def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """id, ``base`` and ``spans`` (kind:start:end, joined), counts by kind, and the redacted text if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_find(shared, redact), f"_id {kind}, {FOUND}")
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *FOUND])
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_find(shared, redact), schema)
     return found.withColumnRenamed("_id", id_col)
 
 

@@ -52,7 +52,7 @@ def test_empty_table(spark, sf_dir):
 
 
 def test_clashing_columns_survive(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").limit(20).withColumn("n_words", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("score", F.lit(2.0))
+    docs = table(spark, sf_dir, "documents").limit(20).withColumn("n_words", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("score", F.lit(2.0)).withColumn("odd name", F.lit(1))
     for _, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert {"n_words", "_row", "score"} <= set(docs.columns)
