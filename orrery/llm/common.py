@@ -40,6 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return read
 
 
+def lean_batches(docs: DataFrame, rows: int = 1000) -> None:
+    """Send texts to Python in batches of at most ``rows`` rows, unless the session has fewer: a batch is held several times over."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > rows or int(conf.get(name)) <= 0:
+        conf.set(name, str(rows))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables that no plan needs any more."""
     for df in tables:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.llm.common import lean_batches
+
 WINDOW = 8
 LEAST_ITEMS = 2
 BLOCK_CHARS = 16_000_000
@@ -147,6 +149,7 @@ def find_leaks(
 ) -> DataFrame:
     """id, the columns in ``carry``, ``n_words``, ``runs`` (word ranges) and ``items``."""
     sc = docs.sparkSession.sparkContext
+    lean_batches(docs)
     bench = benchmark.select(
         F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")
     ).where(F.col("item").isNotNull() & F.col("text").isNotNull())

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint, release
+from orrery.llm.common import checkpoint, lean_batches, release
 from orrery.llm.components import components
 from orrery.llm.shingles import mix, shingle_lists
 
@@ -92,7 +92,7 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _classes(lot: int = 4_000_000, least: int = 3):
+def _classes(lot: int = 2_000_000, least: int = 3):
     """A row per document, and a row per shingle that ``least`` documents of a lot hold."""
 
     def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -344,6 +344,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
+        lean_batches(docs)
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
         seen = checkpoint(self.docs.mapInArrow(_classes(), SEEN))
         #: doc_id, n, cls of every row
@@ -354,11 +355,11 @@ class JaccardJoin:
         #: cls, the document that stands for it, n and parities of every class that can link to another
         self.nodes = checkpoint(nodes)
         often = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
-        rows = often.orderBy(F.desc("count"), "token").limit(COUNTS_KEPT).collect()
-        tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+        rows = often.orderBy(F.desc("count"), "token").limit(COUNTS_KEPT).toArrow()
+        tokens = rows["token"].to_numpy().view(np.uint64)
         order = np.argsort(tokens)
         #: the repeated shingles, sorted, and their counts
-        self.counted = tokens[order], np.array([r["count"] for r in rows], np.int64)[order]
+        self.counted = tokens[order], rows["count"].to_numpy()[order]
 
     def members(self) -> DataFrame:
         """Keys with two classes or more: their members and leader."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint
+from orrery.llm.common import checkpoint, lean_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -164,6 +164,7 @@ def _pieces(path: str, capacity: int):
 def tokenized_pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
+    lean_batches(docs)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return slim.mapInArrow(_pieces(path, capacity), PIECES)
 

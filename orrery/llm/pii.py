@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.llm.common import lean_batches
+
 Span = tuple[int, int, str]  # start, end, kind
 
 # The kinds and patterns of the contract.
@@ -368,6 +370,7 @@ def _find(shared, redact: bool):
 
 def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """id, ``base`` and ``spans`` (kind:start:end, joined), counts by kind, and the redacted text if asked for."""
+    lean_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(trained())
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *FOUND])
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_find(shared, redact), schema)
