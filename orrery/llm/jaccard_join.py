@@ -53,7 +53,7 @@ COUNTS_KEPT = 1 << 18
 FEW = 4096
 ROUNDS = 4
 #: Pairs that a task remembers; beyond that it starts anew, and tells some twice.
-TOLD = 500_000
+TOLD = 100_000
 FILTER_BITS_A_DOC, FILTER_BITS_MOST = 16, 1 << 27
 
 
