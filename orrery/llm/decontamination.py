@@ -189,3 +189,25 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("items") >= LEAST_ITEMS).alias("contaminated"),
     )
+
+
+def op8_sql() -> str:
+    """The same over the views ``documents`` and ``benchmark``, in DuckDB's dialect: a join of windows."""
+    cut = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return f"""
+WITH iw AS (SELECT item_id, {cut} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS m, unnest(list_transform(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1),
+  lambda i: array_to_string(w[i:i + least({WINDOW}, len(w)) - 1], ' '))) AS k FROM iw WHERE len(w) > 0),
+dw AS (SELECT doc_id, {cut} AS w FROM documents),
+d AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS k FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+  FROM dw, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
+h AS (SELECT doc_id, i, m, item_id FROM d JOIN p USING (m, k)),
+a AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM h) GROUP BY doc_id),
+b AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+  FROM h GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n, 0) >= {LEAST_ITEMS} AS contaminated
+FROM dw LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)"""

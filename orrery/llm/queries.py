@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.common import table
-from orrery.llm.decontamination import op8_decontamination
+from orrery.llm.decontamination import op8_decontamination, op8_sql
 from orrery.llm.jaccard_join import op6_ngram_jaccard_join
 from orrery.llm.license_scan import op9_license_scan, op9_sql
 from orrery.llm.packing import op1_best_fit_packing
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": op9_sql()}
+    return {"op8_decontamination": op8_sql(), "op9_license_scan": op9_sql()}

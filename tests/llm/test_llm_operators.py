@@ -403,6 +403,17 @@ def test_leaks_match_brute_force(spark, sf_dir, texts, block):
     assert digest["contaminated"] and digest["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
+def test_leaks_match_sql(spark, sf_dir, documents):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    want = con.sql(oracle_sql()["op8_decontamination"])
+    got = D.op8_decontamination(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.columns == want.columns
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------
 
 
