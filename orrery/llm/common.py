@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,21 @@ def lean_batches(docs: DataFrame, rows: int = 1000) -> None:
         conf.set(name, str(rows))
 
 
+def tidy(run):
+    """The same function over Arrow batches; when it ends, its worker gives freed memory back, as it may wait long for more work."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they like
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables that no plan needs any more."""
     for df in tables:

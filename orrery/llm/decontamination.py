@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import lean_batches
+from orrery.llm.common import lean_batches, tidy
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -133,7 +133,7 @@ def _search(shared, keep: int):
             cols += [pa.array(runs, _RUNS), pa.array(items, _ITEMS), pa.array(n_words, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[: keep + 1], "_runs", "_items", "_n"])
 
-    return run
+    return tidy(run)
 
 
 def find_leaks(

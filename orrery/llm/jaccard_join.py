@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint, lean_batches, release
+from orrery.llm.common import checkpoint, lean_batches, release, tidy
 from orrery.llm.components import components
 from orrery.llm.shingles import mix, shingle_lists
 
@@ -119,7 +119,7 @@ def _classes(lot: int = 2_000_000, least: int = 3):
         if held:
             yield frequent(held)
 
-    return run
+    return tidy(run)
 
 
 _KEYS = {"key": pa.int64(), "cls": pa.int64(), "n": pa.int32(), "prio": pa.int32(), "combined": pa.bool_()}
@@ -174,13 +174,13 @@ def _keys(shared):
                         sizes.append(len(tokens))
                         prios.append(prio)
                         combined.append(mark)
-                if len(keys) >= 2000:
+                if sum(map(len, keys[-1:])) > 100_000 or len(keys) >= 500:
                     yield flush()
                     keys, cls, sizes, prios, combined = [], [], [], [], []
             if keys:
                 yield flush()
 
-    return run
+    return tidy(run)
 
 
 _MEMBERS = {"key": pa.int64(), "cls": pa.int64(), "n": pa.int32(), "lcls": pa.int64(), "ln": pa.int32()}
@@ -310,7 +310,7 @@ def _sets(shared):
                     tokens = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([cls, tokens], ["cls", "tokens"])
 
-    return run
+    return tidy(run)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ class JaccardJoin:
         shared = self.spark.sparkContext.broadcast(self.counted)  # COUNTS_KEPT pairs at most
         keys = self.docs.select("text").mapInArrow(_keys(shared), KEYS)
         single = keys.where(~F.col("combined")).drop("combined").repartition("key").sortWithinPartitions("key", "prio", "cls")
-        led = single.select("key", "cls", "n").mapInArrow(_led, MEMBERS)
+        led = single.select("key", "cls", "n").mapInArrow(tidy(_led), MEMBERS)
         pairs = keys.where("combined").drop("combined")
         lead = pairs.groupBy("key").agg(
             F.min(F.struct("prio", "cls", "n")).alias("l"), F.min("cls").alias("lo"), F.max("cls").alias("hi")
@@ -405,7 +405,7 @@ class JaccardJoin:
         sets = checkpoint(self.sets(ids))
         x, y = (sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
         both = left.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-        links = checkpoint(both.mapInArrow(_linked, "a bigint, b bigint"))
+        links = checkpoint(both.mapInArrow(tidy(_linked), "a bigint, b bigint"))
         release(sets, ids, left)
         return links
 
@@ -439,7 +439,7 @@ class JaccardJoin:
             # keys of the same classes meet in some tasks, which tell a pair once each
             spread = F.pmod(F.xxhash64("key"), F.lit(max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
             few = few.repartition("next.cls", spread).sortWithinPartitions("key")
-            near = few.select("key", "cls", "n", "root", "doc_id", "parity").mapInArrow(_paired, PAIRED)
+            near = few.select("key", "cls", "n", "root", "doc_id", "parity").mapInArrow(tidy(_paired), PAIRED)
             many = open_.where(~F.lit(last) & (F.col("left") > FEW))
             led = many.where(F.col("root") != F.col("next.root"))
             led = led.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b")).distinct()

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint, lean_batches
+from orrery.llm.common import checkpoint, lean_batches, tidy
 
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that one task ranks, about.
 ROWS_A_GROUP = 250_000
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 Run = tuple[int, int, int, int, int, int]
@@ -158,7 +158,7 @@ def _pieces(path: str, capacity: int):
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def tokenized_pieces(

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import lean_batches
+from orrery.llm.common import lean_batches, tidy
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -365,7 +365,7 @@ def _find(shared, redact: bool):
                 names,
             )
 
-    return run
+    return tidy(run)
 
 
 def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:

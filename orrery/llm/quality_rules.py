@@ -28,9 +28,10 @@ LEAST_WORDS = 50
 SYMBOLS = r"[#*$%&|<>]"
 
 BUCKETS = 1 << 15
-THRESHOLD = -0.08
+THRESHOLD = -0.12
 TARGET_ROWS = 100_000
-SMOOTHING = 1.0
+#: Occurrences that are added to both counts of a bucket, the target's scaled to the corpus: rare words say little.
+SMOOTHING = 10.0
 
 
 def words_of(text: Column) -> Column:
@@ -132,12 +133,12 @@ def log_ratios(
         F.sum("t").alias("st"),
         F.sum("r").alias("sr"),
     )
-    share = lambda c, total: (c + SMOOTHING) / (total + SMOOTHING * buckets)
+    scaled = lambda t: t * (F.col("sr") / F.col("st"))
     return one.select(
         F.transform(
             "rows",
             lambda x: F.when(F.col("st") == 0, F.lit(0.0)).otherwise(
-                F.log(share(x["t"], F.col("st"))) - F.log(share(x["r"], F.col("sr")))
+                F.log(scaled(x["t"]) + SMOOTHING) - F.log(x["r"] + SMOOTHING)
             ),
         ).alias("ratios")
     )

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-LOT = 1 << 20
+LOT = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S1, _S2, _S3 = np.uint64(30), np.uint64(27), np.uint64(31)
