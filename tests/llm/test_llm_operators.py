@@ -220,6 +220,16 @@ def test_repeated_passages_are_found(spark, texts):
     assert {i for s in holders.values() if len(s) > 1 for i in s} <= set(got)
 
 
+def test_passages_are_found_beside_fragments_under_lower_ids(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=rng.randint(2, 8)))
+    passage = [word() for _ in range(60)]
+    within = lambda middle: " ".join([word() for _ in range(80)] + middle + [word() for _ in range(80)])
+    fragments = [within(passage[at : at + 30]) for at in (0, 10, 20, 30) for _ in range(2)]
+    got = by_id(SD.op4_substring_dedup(frame(spark, fragments + [within(passage) for _ in range(5)])))
+    assert {i: r["n_repeated_words"] for i, r in got.items()} == dict.fromkeys(range(8, 13), 60)
+
+
 def test_no_passages(spark):
     assert SD.op4_substring_dedup(frame(spark, ODD[:5])).count() == 0
     assert SD.op4_substring_dedup(frame(spark, []).limit(0)).count() == 0
