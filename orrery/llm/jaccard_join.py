@@ -138,11 +138,12 @@ def prefix_keys(tokens: np.ndarray, counted: np.ndarray, counts: np.ndarray) ->
     n_rare = int((count < FREQUENT).sum())
     prio = n_rare * 1000 // n
     none = np.empty(0, np.uint64)
-    if not q:
+    if n < 4:
         return none, none, prio
     if n_rare > q:
         return tokens[order[: q + 1]], none, prio
-    last = tokens[order[n_rare : 2 * q + 1]]
+    # a set of four may lie in one of five: its first two are among the first three there, which are all combined
+    last = tokens[order[n_rare : max(2 * q + 1, 2)]]
     pairs = [mix(mix(last[:-g]) + last[g:]) for g in range(1, GAP + 1) if g < len(last)]
     return tokens[order[:n_rare]], np.concatenate(pairs) if pairs else none, prio
 
@@ -349,7 +350,7 @@ class JaccardJoin:
         seen = checkpoint(self.docs.mapInArrow(_classes(), SEEN))
         #: doc_id, n, cls of every row
         self.classes = seen.where("n is not null").select("doc_id", "n", "cls")
-        nodes = seen.where("n > 4").groupBy("cls").agg(
+        nodes = seen.where("n >= 4").groupBy("cls").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")
         )
         #: cls, the document that stands for it, n and parities of every class that can link to another

@@ -334,6 +334,17 @@ def test_combined_keys_find_every_link():
                 assert np.bitwise_count(p.view(np.uint64) ^ q.view(np.uint64)).sum() <= len(a) + len(b) - 2 * common
 
 
+@pytest.mark.parametrize("frequent", [200, 1])
+def test_sets_of_four_link_to_sets_of_five(spark, monkeypatch, frequent):
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    eight = "one two three four five six seven eight"
+    other = "a b c d e f g h"
+    every = [eight, f"{eight} nine", f"zero {other}", other, *[f"x{k} {eight}" for k in range(4)], "p q r s " * 5, "p q r s " * 5 + "t"]
+    got = by_id(J.op6_ngram_jaccard_join(frame(spark, every)))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(every))] == brute_components(every)
+    assert got[1]["component_id"] == 0 and got[3]["component_id"] == 2 and got[9]["component_id"] == 8
+
+
 def test_components_of_nothing(spark):
     assert J.op6_ngram_jaccard_join(frame(spark, []).limit(0)).count() == 0
     got = by_id(J.op6_ngram_jaccard_join(frame(spark, [None, "", "a b", "A  b", None])))
