@@ -216,8 +216,8 @@ def _picked(tree: Tree, select: int, split: int) -> set[int]:
 def select_heads(vectors: DataFrame, ratio: float = 0.01, sample: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """Rows that stand for the data, about ``ratio`` of them: tree centers, with thresholds tuned to the ratio.
 
-    The tree is fitted on a sample.  Beyond its size, the sample's centers stand
-    for proportionally more rows, and more heads come from strides over the rest.
+    The tree is fitted on a sample.  Beyond its size, more heads come from strides
+    over the rest, by hash of the id, so that heads stay ``ratio`` of all rows.
     """
     ids, x = sampled(vectors, sample, seed)
     if not len(ids):
@@ -229,16 +229,28 @@ def select_heads(vectors: DataFrame, ratio: float = 0.01, sample: int = SAMPLE_R
     heads = sorted(best) or [int(ids[0])]
     spark = vectors.sparkSession
     chosen = spark.createDataFrame([(int(i),) for i in heads], "vec_id bigint")  # at most the sample
-    return vectors.join(F.broadcast(chosen), "vec_id", "left_semi")
+    found = vectors.join(F.broadcast(chosen), "vec_id", "left_semi")
+    if len(ids) < sample:
+        return found
+    fitted = spark.createDataFrame([(int(i),) for i in ids], "vec_id bigint")
+    parts = 1 << 30
+    stride = F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(parts)) < F.lit(round(ratio * parts))
+    rest = vectors.where(F.col("embedding").isNotNull() & stride).join(F.broadcast(fitted), "vec_id", "left_anti")
+    return found.unionByName(rest)
 
 
-def assign_postings(vectors: DataFrame, heads: DataFrame, replicas: int = 8, limit: int = 118, metric: str = "l2") -> DataFrame:
-    """head_id, pos, vec_id, head_dist: each row in its nearest heads' lists, each list cut to its nearest rows."""
+def assign_postings(vectors: DataFrame, heads: DataFrame, replicas: int = 8, limit: int = 118, metric: str = "l2", spill: bool = False) -> DataFrame:
+    """head_id, pos, vec_id, head_dist: each row in its nearest heads' lists, each list cut to its nearest rows.
+
+    With ``spill`` no row leaves the list of its nearest head, however long that is.
+    """
     near = nearest_points(vectors, heads, replicas, metric)
-    return prune_postings(near.select(F.col("vec_id").alias("head_id"), F.col("query_id").alias("vec_id"), F.col("distance").alias("head_dist")), limit)
+    nearest = (F.col("rank") == 1) if spill else F.lit(False)
+    return prune_postings(near.select(F.col("vec_id").alias("head_id"), F.col("query_id").alias("vec_id"), F.col("distance").alias("head_dist"), nearest.alias("kept")), limit)
 
 
 def prune_postings(assigned: DataFrame, limit: int) -> DataFrame:
-    """``pos`` from 1 by distance to the head; a head's list ends at ``limit``."""
+    """``pos`` from 1 by distance to the head; a head's list ends at ``limit``, but for rows that are ``kept``."""
     order = Window.partitionBy("head_id").orderBy("head_dist", "vec_id")
-    return assigned.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("head_id", "pos", "vec_id", "head_dist")
+    placed = assigned.withColumn("pos", F.row_number().over(order))
+    return placed.where((F.col("pos") <= limit) | F.col("kept")).select("head_id", "pos", "vec_id", "head_dist")

@@ -326,7 +326,7 @@ def index_recall(spark, d):
     e = emb(spark, d).select("vec_id", "embedding")
     heads = C.select_heads(e, RATIO)
     limit = round(REPLICAS / RATIO)
-    i = VectorIndex(config(probes=24, max_check=1 << 20), e, heads, C.assign_postings(e, heads, REPLICAS, limit))
+    i = VectorIndex(config(probes=24, max_check=1 << 20), e, heads, C.assign_postings(e, heads, REPLICAS, limit, spill=True))
     return mean_recall(i.search(stated(e), K), knn_join(stated(e), e, K), K)
 
 

@@ -51,7 +51,7 @@ class VectorIndex:
             heads = select_heads(rows, config.ratio, config.head_sample, config.seed)
         # a list may hold what its share of all replicas is, if that is more than the limit
         limit = max(config.posting_limit, round(config.replicas / config.ratio))
-        postings = assign_postings(rows, heads, config.replicas, limit, "l2")
+        postings = assign_postings(rows, heads, config.replicas, limit, "l2", spill=True)
         if config.bits or config.delta:
             centers = heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
             gathered = postings.join(rows, "vec_id").join(F.broadcast(centers) if _small(heads) else centers, "head_id")
@@ -121,7 +121,7 @@ class VectorIndex:
         plain = replace(self.config, bits=0, delta=False)
         if self.config != plain:
             raise ValueError("append to an index without codes, then code it")
-        more = assign_postings(vectors.select("vec_id", "embedding"), self.heads, self.config.replicas, limit)
+        more = assign_postings(vectors.select("vec_id", "embedding"), self.heads, self.config.replicas, limit, spill=True)
         return VectorIndex(self.config, self.vectors.unionByName(vectors.select("vec_id", "embedding")), self.heads, self.postings.unionByName(more))
 
     def save(self, path: str) -> None:

@@ -17,7 +17,7 @@ def ingest(spark: SparkSession, stream: DataFrame, index_path: str, checkpoint:
 
     def one(batch: DataFrame, number: int) -> None:
         rows = batch.select("vec_id", "embedding").dropDuplicates(["vec_id"]).persist()
-        assign_postings(rows, heads, index.config.replicas, limit).write.mode("overwrite").parquet(f"{index_path}/postings_new/batch={number}")
+        assign_postings(rows, heads, index.config.replicas, limit, spill=True).write.mode("overwrite").parquet(f"{index_path}/postings_new/batch={number}")
         rows.write.mode("overwrite").parquet(f"{index_path}/vectors_new/batch={number}")
         rows.unpersist()
 

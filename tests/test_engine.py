@@ -153,6 +153,13 @@ def test_stored_indexes_answer_alike(spark, tmp_path, more):
     assert mean_recall(loaded.search(q, 5), true, 5).first()["recall"] >= 0.8
 
 
+def test_heads_beyond_the_sample_keep_every_row(spark):
+    rows = vecfiles.generated(spark, 2000, 8, "unit")
+    index = VectorIndex.build(rows, IndexConfig(ratio=0.05, head_sample=400, replicas=1, posting_limit=1))
+    assert 60 <= index.heads.count() <= 140
+    assert index.postings.select("vec_id").distinct().count() == 2000
+
+
 def test_streamed_rows_are_found(spark, tmp_path):
     rows = vecfiles.generated(spark, 200, 8, "unit").cache()
     VectorIndex.build(rows.where("vec_id < 150"), IndexConfig(ratio=0.1, heads="strided")).save(str(tmp_path / "i"))
