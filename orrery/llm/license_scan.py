@@ -65,6 +65,45 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_BSD_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+    INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+    DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+    SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+    WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+    OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_3 = """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission."""
+_MIT_DISCLAIMER = """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+    TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+    AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+    TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+    SOFTWARE."""
+_ISC_DISCLAIMER = """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+    INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+    SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+    PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+    THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_NO_WARRANTY = "This program is distributed" + TEMPLATES["GPL-3.0-header"].split("This program is distributed")[1]
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+    version. """ + _NO_WARRANTY
+_CC = {"SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+TEMPLATES |= {
+    "AGPL-3.0-header": _GNU.replace("GNU General", "GNU Affero General"),
+    "BSD-2-Clause-disclaimer": TEMPLATES["BSD-2-Clause"] + _BSD_DISCLAIMER,
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"] + _BSD_3,
+    "BSD-3-Clause-disclaimer": TEMPLATES["BSD-2-Clause"] + _BSD_3 + _BSD_DISCLAIMER,
+    "ISC-disclaimer": TEMPLATES["ISC"] + _ISC_DISCLAIMER,
+    "LGPL-2.1-header": _GNU.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "LGPL-3.0-header": _GNU.replace("GNU General", "GNU Lesser General"),
+    "MIT-disclaimer": TEMPLATES["MIT"] + _MIT_DISCLAIMER,
+}
+for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    _name = "-".join(["Attribution", *(_CC[k] for k in _kind.split("-")[1:])])
+    TEMPLATES[f"CC-{_kind}-4.0-notice"] = f"This work is licensed under a Creative Commons {_name} 4.0 International License."
+    TEMPLATES[f"CC-{_kind}-4.0-short"] = f"Licensed under CC {_kind} 4.0."
+
 
 def template_bigrams(text: str) -> list[str]:
     words = re.sub(r"[\W_]+", " ", text.lower()).split()

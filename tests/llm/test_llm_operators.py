@@ -454,6 +454,17 @@ def test_whole_licenses_are_found(spark):
     assert [got[i]["best_license"] for i in range(4)] == ["MIT", "MIT-notice", "GPL-3.0-header", None]
 
 
+def test_more_licenses_are_found(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-short",
+        "Licensed under CC BY 4.0": "CC-BY-4.0-short",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0-notice",
+    }
+    lines |= {L.TEMPLATES.get(k, ""): k for k in ("BSD-3-Clause", "BSD-3-Clause-disclaimer", "MIT-disclaimer", "ISC-disclaimer", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header")}
+    got = by_id(L.op9_license_scan(frame(spark, [k.replace("\n", " ") for k in lines])))
+    assert [got[i]["best_license"] for i in range(len(lines))] == list(lines.values())
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
