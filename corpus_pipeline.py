@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import checkpoint, table
-from orrery.llm.decontamination import LEAST_ITEMS, find_leaks
+from orrery.llm.decontamination import find_leaks
 from orrery.llm.jaccard_join import JaccardJoin
 from orrery.llm.packing import pack_documents
 from orrery.llm.pii import scan_personal
@@ -41,9 +41,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of as many benchmark items as count as contamination."""
+    """Documents in which no window of a benchmark item occurs: what leaks one item's passage is not trained on."""
     found = find_leaks(_with_row(docs), table(spark, sf_dir, "benchmark"), carry=["_row"])
-    return found.where(F.size("items") < LEAST_ITEMS).select("_row.*")
+    return found.where(F.size("runs") == 0).select("_row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
