@@ -3,6 +3,7 @@
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
+from orrery.llm import decontamination as D
 from orrery.llm import pii
 from orrery.llm.common import table
 
@@ -32,9 +33,26 @@ def test_stages_over_the_smallest_tables(spark, sf_dir):
 
 def test_contaminated_rows_go(spark, sf_dir):
     items = [r["text"] for r in table(spark, sf_dir, "benchmark").limit(2).collect()]
-    rows = [(1, " ".join(items), "en", "s", 0), (2, items[0], "en", "s", 0), (3, None, None, None, None)]
+    cut = items[0].split()
+    rows = [
+        (1, " ".join(items), "en", "s", 0),
+        (2, items[0], "en", "s", 0),
+        (3, None, None, None, None),
+        (4, "before it " + " ".join(cut[:9]) + " and after", "en", "s", 0),
+        (5, "before it " + " ".join(cut[:7]) + " and after", "en", "s", 0),
+        (6, "", "en", "s", 0),
+    ]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert {r["doc_id"] for r in pipeline.decontaminate(spark, docs, sf_dir).collect()} == {2, 3}
+    assert {r["doc_id"] for r in pipeline.decontaminate(spark, docs, sf_dir).collect()} == {3, 5, 6}
+
+
+def test_no_benchmark_window_survives(spark, sf_dir):
+    benchmark = table(spark, sf_dir, "benchmark")
+    searches = D.matchers([(r["item_id"], r["text"].encode()) for r in benchmark.collect()], D.WINDOW)
+    docs = table(spark, sf_dir, "documents")
+    hit = {r["doc_id"] for r in docs.collect() if D.hit_runs(D.words_of(r["text"].encode()), searches)[0]}
+    kept = {r["doc_id"] for r in pipeline.decontaminate(spark, docs, sf_dir).collect()}
+    assert hit and kept == {r["doc_id"] for r in docs.collect()} - hit
 
 
 def test_duplicates_go_once(spark, sf_dir):
