@@ -17,10 +17,12 @@ Pairs.  All pairs within a key are never made.  Each key links its members to
 one leader (the member with the fewest rare shingles); links merge components;
 only keys whose members are still in several components go on, with another
 leader.  Then the members of a key of up to ``FEW``, and after
-``ROUNDS`` of all others, are compared where they are together, those in
-different components only, by size and parity bits: only the pairs that these
-leave become rows.  So every pair that could join two components is compared,
-and the components are exact.  Verification compares whole sets.
+``ROUNDS`` of all others, are compared in pairs of blocks of about ``BLOCK``
+members, those in different components only, by size and parity bits: only the
+pairs that these leave become rows.  So every pair that could join two
+components is compared, and the components are exact.  Verification compares
+whole sets.  ``every_link`` compares all members of a key and returns each link
+of two classes, whatever their components.
 
 Defined results: null text or one without words has an empty set, links with
 nothing and is its own component; with fewer than five words the whole
@@ -52,6 +54,8 @@ COUNTS_KEPT = 1 << 18
 #: Keys with at most so many members end with pairs at once.
 FEW = 4096
 ROUNDS = 4
+#: Members of a key in one block; a task compares two blocks at a time.
+BLOCK = 1024
 #: Pairs that a task remembers; beyond that it starts anew, and tells some twice.
 TOLD = 100_000
 FILTER_BITS_A_DOC, FILTER_BITS_MOST = 16, 1 << 27
@@ -218,8 +222,8 @@ def _folded(parity: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, :, 0] ^ bits[:, :, 1], axis=1).view(np.uint64)
 
 
-def near_pairs(n: np.ndarray, root: np.ndarray, parity: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of a key's members in different components whose sizes and parities leave room for a link."""
+def near_pairs(n: np.ndarray, root: np.ndarray, parity: list[np.ndarray], block: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of members in different components, and blocks if given, whose sizes and parities leave room for a link."""
     words = np.array([len(p) for p in parity])
     for size in np.unique(words):
         own = np.flatnonzero(words == size)
@@ -242,6 +246,8 @@ def near_pairs(n: np.ndarray, root: np.ndarray, parity: list[np.ndarray]) -> Ite
                 both = n[a] + n[b]
                 fits = (differ * (DENOM + NUMER) <= (DENOM - NUMER) * both) & (root[a] != root[b])
                 fits &= DENOM * np.minimum(n[a], n[b]) >= NUMER * np.maximum(n[a], n[b])
+                if block is not None:
+                    fits &= block[a] != block[b]
                 if other is own:
                     fits &= np.arange(first, last)[None] > np.arange(at, at + len(a))[:, None]
                 i, j = np.nonzero(fits)
@@ -253,15 +259,15 @@ PAIRED = "a bigint, b bigint, doc_id_a bigint, doc_id_b bigint"
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, cls, n, root, doc_id, parity come sorted by key; a key's members are compared as they are together.
+    """Rows key, lo, hi, block, cls, n, root, doc_id, parity come sorted by key, lo and hi; members of two blocks are compared as they are together.
 
     A pair shares many keys: a task remembers what it has told.
     """
     told: set[tuple[int, int]] = set()
 
-    def compared(cls, n, root, doc, parity) -> Iterator[pa.RecordBatch]:
-        cls, n, root, doc = (np.array(x, np.int64) for x in (cls, n, root, doc))
-        for i, j in near_pairs(n, root, parity):
+    def compared(parts: list[list[np.ndarray]], parity: list[np.ndarray], apart: bool) -> Iterator[pa.RecordBatch]:
+        block, cls, n, root, doc = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+        for i, j in near_pairs(n, root, parity, block if apart else None):
             swap = cls[i] > cls[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             pairs = list(zip(cls[i].tolist(), cls[j].tolist(), strict=True))
@@ -275,25 +281,35 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [pa.array(x, pa.int64()) for x in (cls[i], cls[j], doc[i], doc[j])]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b", "doc_id_a", "doc_id_b"])
 
-    held: list[list] = [[], [], [], [], []]
+    parts: list[list[np.ndarray]] = []
+    parity: list[np.ndarray] = []
     last = None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        cols = [batch.column(k).to_numpy() for k in range(1, 5)]
-        parity = [p.values.to_numpy() for p in batch.column(5)]
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        if not batch.num_rows:
+            continue
+        key, lo, hi, *cols = (batch.column(k).to_numpy() for k in range(8))
+        own = [p.values.to_numpy() for p in batch.column(8)]
+        new = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if keys[a] != last and held[0]:
-                yield from compared(*held)
-                held = [[], [], [], [], []]
-            last = keys[a]
-            for k, c in enumerate(cols):
-                held[k].extend(c[a:b])
-            held[4].extend(parity[a:b])
-    if held[0]:
-        yield from compared(*held)
+            group = (key[a], lo[a], hi[a])
+            if group != last and parts:
+                yield from compared(parts, parity, last[1] != last[2])
+                parts, parity = [], []
+            last = group
+            parts.append([c[a:b] for c in cols])
+            parity.extend(own[a:b])
+    if parts:
+        yield from compared(parts, parity, last[1] != last[2])
+
+
+def in_blocks(rows: DataFrame, size: str) -> DataFrame:
+    """Members of keys, once for each pair (lo, hi) of blocks that holds theirs; ``size`` is the column of a key's members."""
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    placed = rows.withColumn("_blocks", F.greatest(blocks, F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    # beyond one block, pairs within a block are told by (block, block)
+    each = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return each.withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_blocks", "_o")
 
 
 def _sets(shared):
@@ -347,7 +363,7 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         lean_batches(docs)
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-        seen = checkpoint(self.docs.mapInArrow(_classes(), SEEN))
+        seen = self.seen = checkpoint(self.docs.mapInArrow(_classes(), SEEN))
         #: doc_id, n, cls of every row
         self.classes = seen.where("n is not null").select("doc_id", "n", "cls")
         nodes = seen.where("n >= 4").groupBy("cls").agg(
@@ -384,10 +400,9 @@ class JaccardJoin:
             bits *= 2
         spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
         one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(63).cast("int"))
-        words = ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one).alias("m"))
+        words = ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one).alias("m")).toArrow()
         held = np.zeros(bits // 64, np.int64)
-        for r in words.collect():  # at most FILTER_BITS_MOST / 64 rows
-            held[r["w"]] = r["m"]
+        held[words["w"].to_numpy()] = words["m"].to_numpy()  # at most FILTER_BITS_MOST / 64 rows
         shared = self.spark.sparkContext.broadcast(held.view(np.uint64))
         # what passes by chance, or twice, is another row that no pair asks for or a pair compared twice
         return self.docs.select(spot.alias("spot"), "text").mapInArrow(_sets(shared), "cls bigint, tokens array<bigint>")
@@ -417,9 +432,11 @@ class JaccardJoin:
         ordered = (F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b"))
         pairs = self.described(self.described(fit.select(*ordered).distinct(), "a", "_a"), "b", "_b")
         links = self.verified(pairs.where(may_link()))
+        self.found = [links]
         every = members.select("key", "cls", F.lit(False).alias("led")).union(members.select("key", "lcls", F.lit(True)))
         every = every.groupBy("key", "cls").agg(F.max("led").alias("led"))
         roots = components(links)
+        waits: list[DataFrame] = []
         for turn in range(ROUNDS + 1):
             last = turn == ROUNDS
             rooted = every.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
@@ -435,12 +452,8 @@ class JaccardJoin:
             open_ = checkpoint(rooted.where(~F.col("led")).join(waiting, "key"))
             if open_.isEmpty():
                 break
-            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", "cls", "root", "next")
-            few = few.join(self.nodes, "cls")
-            # keys of the same classes meet in some tasks, which tell a pair once each
-            spread = F.pmod(F.xxhash64("key"), F.lit(max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
-            few = few.repartition("next.cls", spread).sortWithinPartitions("key")
-            near = few.select("key", "cls", "n", "root", "doc_id", "parity").mapInArrow(tidy(_paired), PAIRED)
+            few = open_.where(F.lit(last) | (F.col("left") <= FEW)).select("key", "cls", "root", F.col("next.cls").alias("near"), "left")
+            near = self.compared(few)
             many = open_.where(~F.lit(last) & (F.col("left") > FEW))
             led = many.where(F.col("root") != F.col("next.root"))
             led = led.select(F.least("cls", "next.cls").alias("a"), F.greatest("cls", "next.cls").alias("b")).distinct()
@@ -448,24 +461,80 @@ class JaccardJoin:
             new = self.verified(near.union(led.select("a", "b", "doc_id_a", "doc_id_b")))
             if not new.isEmpty():
                 links = links.union(new)
+                self.found.append(new)
+                release(roots)
                 roots = components(links)
             if last or many.isEmpty():
                 break
             every = many.select("key", "cls", (F.col("cls") == F.col("next.cls")).alias("led"))
+            waits.append(open_)
+        release(members, open_, *waits)
         return links, roots
 
+    def compared(self, rows: DataFrame) -> DataFrame:
+        """Pairs of members of a key (key, cls, root, near, left) in different components that may link.
+
+        Keys that wait with the same class ``near`` meet in some tasks, which tell a pair once each.
+        """
+        spread = F.pmod(F.xxhash64("key"), F.lit(max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+        placed = in_blocks(rows.join(self.nodes, "cls"), "left")
+        sorted_ = placed.repartition("near", "lo", "hi", spread).sortWithinPartitions("key", "lo", "hi")
+        return sorted_.select("key", "lo", "hi", "block", "cls", "n", "root", "doc_id", "parity").mapInArrow(tidy(_paired), PAIRED)
+
+    def every_link(self) -> DataFrame:
+        """Each link ``a``, ``b`` of two classes, once: as many rows as there are, whatever the components."""
+        members = self.members()
+        every = members.select("key", "cls").union(members.select("key", F.col("lcls").alias("cls"))).distinct()
+        sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("left"), F.min("cls").alias("near"))
+        rows = every.join(sizes, "key").select("key", "cls", F.col("cls").alias("root"), "near", "left")
+        links = self.verified(self.compared(rows))
+        release(members)
+        return links
+
+    def counted_links(self) -> DataFrame:
+        """doc_id, n_links: the documents, equal ones too, that each document links with."""
+        links = self.every_link()
+        held = self.classes.where("n > 0").select("doc_id", "cls").distinct().groupBy("cls").agg(F.count(F.lit(1)).alias("docs"))
+        both = links.union(links.select("b", "a"))
+        others = both.join(held.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("docs").alias("others"))
+        each = held.join(others, "cls", "left").select("cls", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return self.classes.select("doc_id", "cls").distinct().join(each, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def grouped(self) -> DataFrame:
-        """doc_id, n_shingles, component_id: one row per document."""
+        """doc_id, n_shingles, component_id: one row per document; a written table, and the only one that stays."""
         _, roots = self.links()
         docs = self.classes.groupBy("doc_id").agg(F.max(F.struct("n", "cls")).alias("c")).select("doc_id", F.col("c.n").alias("n"), F.col("c.cls").alias("cls"))
         rooted = docs.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         rooted = rooted.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
         least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         # documents without words have no root and stay alone
-        return rooted.join(least, "root", "left").select(
+        found = rooted.join(least, "root", "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         )
+        found = checkpoint(found)
+        release(roots, self.seen, self.nodes, *self.found)
+        return found
 
 
 def op6_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     return JaccardJoin(docs).grouped()
+
+
+def op6_sql() -> str:
+    """The same over the view ``documents``, in DuckDB's dialect: sets joined on their shingles, links followed to their ends."""
+    cut = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x20\x09-\x0D]+')"
+    )
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {cut} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+  lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS cls, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT cls, n, unnest(s) AS t FROM c),
+l AS (SELECT a.cls AS a, b.cls AS b FROM t a JOIN t b ON a.t = b.t AND a.cls <> b.cls AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT cls AS a, cls AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS cls, min(b) AS root FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.cls = m.cls"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.common import table
 from orrery.llm.decontamination import op8_decontamination, op8_sql
-from orrery.llm.jaccard_join import op6_ngram_jaccard_join
+from orrery.llm.jaccard_join import op6_ngram_jaccard_join, op6_sql
 from orrery.llm.license_scan import op9_license_scan, op9_sql
 from orrery.llm.packing import op1_best_fit_packing
 from orrery.llm.pii import op3_pii
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": op8_sql(), "op9_license_scan": op9_sql()}
+    return {"op6_ngram_jaccard_join": op6_sql(), "op8_decontamination": op8_sql(), "op9_license_scan": op9_sql()}

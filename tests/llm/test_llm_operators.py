@@ -345,6 +345,39 @@ def test_sets_of_four_link_to_sets_of_five(spark, monkeypatch, frequent):
     assert got[1]["component_id"] == 0 and got[3]["component_id"] == 2 and got[9]["component_id"] == 8
 
 
+@pytest.mark.parametrize("frequent, block", [(200, 1024), (1, 1024), (1, 3)])
+def test_short_sets_of_all_sizes(spark, monkeypatch, frequent, block):
+    """Sets of 1 to 12 shingles, beside themselves with words added, changed and lost."""
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "BLOCK", block)
+    every = []
+    for n in range(1, 17):
+        base = [f"{chr(97 + n)}{k}" for k in range(n)]
+        every += [" ".join(w) for w in (base, [*base, "z"], ["y", *base], base[:-1], [*base[:-1], "x"], [*base, "z", "z"], base[::-1])]
+    got = by_id(J.op6_ngram_jaccard_join(frame(spark, every)))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(every))] == brute_components(every)
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_every_link_is_told(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "FREQUENT", 3)
+    monkeypatch.setattr(J, "BLOCK", block)
+    every = near_copies(8, groups=3) + [None, "", "a b c d e f"] * 2
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in every]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    want = [sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = by_id(J.JaccardJoin(frame(spark, every)).counted_links())
+    assert [got[i]["n_links"] for i in range(len(every))] == want
+
+
+def test_components_match_sql(spark, sf_dir, documents):
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = sorted(map(tuple, J.op6_ngram_jaccard_join(documents).collect()))
+    assert got == sorted(duckdb.sql(oracle_sql()["op6_ngram_jaccard_join"]).fetchall())
+
+
 def test_components_of_nothing(spark):
     assert J.op6_ngram_jaccard_join(frame(spark, []).limit(0)).count() == 0
     got = by_id(J.op6_ngram_jaccard_join(frame(spark, [None, "", "a b", "A  b", None])))
