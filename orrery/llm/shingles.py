@@ -35,7 +35,7 @@ _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _grown(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, ``n`` at least."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -65,7 +65,7 @@ def word_hashes(lot: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[joined]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    up, down = _grown(len(joined) + 1)
+    up, down = powers(len(joined) + 1)
     sums = np.empty(len(joined) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_SIGN[joined] * up[: len(joined)], out=sums[1:])
