@@ -196,7 +196,7 @@ def test_windows_cover_every_range():
         got = SD.compact_windows(values, width)
         for i in range(len(values) - width + 1):
             m = i + int(np.argmin(values[i : i + width]))
-            assert any(a <= i and p == m and b >= i + width - 1 for a, p, b in got)
+            assert any(a <= i and p == m and b >= i + width - 1 for a, p, b in got.tolist())
 
 
 def test_repeated_passages_are_found(spark, texts):
