@@ -4,7 +4,10 @@ A document's segments are its lines, its paragraphs and the whole text, each
 normalised to lower-case words.  Dice is 2|A and B| / (|A| + |B|) over sets of
 word bigrams.  It can't reach ``threshold`` unless |A| lies between
 t/(2-t) and (2-t)/t times |B|: templates outside these bounds are not compared,
-and segments that no template can match are dropped before they are cut.
+and segments that no template can match are dropped before they are cut.  Nor
+can it unless so many of B's bigrams are there that some of any few of them
+are: every text that can match holds one of the words in ``anchors``, and texts
+and segments without these are not cut at all.
 
 Defined results: null text has no segments; a segment of one word has no
 bigrams and matches nothing; segments that repeat in a document count once;
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +28,8 @@ from orrery.llm.common import let
 
 THRESHOLD = 0.8
 WORDS = r"[^\p{L}\p{N}]+"
+#: Words of at most so many letters are no anchors by themselves.
+SHORT = 4
 
 # Wordings of public licences.
 TEMPLATES = {
@@ -115,6 +121,22 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold / (2 - threshold) * size - 1e-9), math.floor((2 - threshold) / threshold * size + 1e-9)
 
 
+def anchors(bodies: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words, or bigrams of short words, of which each text holds one that reaches the threshold against some template."""
+    chosen: set[str] = set()
+    for body in bodies.values():
+        lo, _ = bounds(len(body), threshold)
+        need = max(1, math.ceil(threshold * (lo + len(body)) / 2 - 1e-9))
+        # one of any ``least`` bigrams is in a text that holds ``need``
+        least = len(body) - need + 1
+        left = [b for b in body if b not in chosen and not chosen.intersection(b.split())]
+        while (missing := least - len(body) + len(left)) > 0:
+            words = {w for b in left for w in b.split() if len(w) > SHORT} or set(left)
+            chosen.add(max(words, key=lambda w: (min(missing, sum(w in (b, *b.split()) for b in left)), len(w), w)))
+            left = [b for b in left if b not in chosen and not chosen.intersection(b.split())]
+    return sorted(chosen)
+
+
 def words_of(segment: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(segment), WORDS, " "), " "), "")
 
@@ -141,6 +163,14 @@ def scan_licenses(
         F.concat(F.split("_t", "\n"), F.split("_t", r"\n[\x20\t\r]*\n"), F.array(F.col("_t")))
     )
 
+    marks = anchors(bodies, threshold)
+
+    def marked(text: Column) -> Column:
+        def holds(low: Column, word: str) -> Column:
+            return low.rlike(word.replace(" ", WORDS)) if " " in word else F.contains(low, F.lit(word))
+
+        return let(F.lower(text), lambda low: reduce(Column.__or__, (holds(low, w) for w in sorted(marks, key=len, reverse=True))))
+
     def best(grams: Column) -> Column:
         size = F.size(grams)
         scores = [
@@ -162,11 +192,12 @@ def scan_licenses(
             fits = F.size(words) > least
             return F.when(fits, let(bigrams_of(words), lambda g: F.when(F.size(g).between(least, most), best(g))))
 
-        return let(words_of(segment), over)
+        return F.when(marked(segment), let(words_of(segment), over))
 
+    none = F.array().cast("array<struct<b:struct<dice:double,order:int,license:string>,segment:string>>")
     scored = cut.select(
         id_col,
-        F.transform(segments, lambda s: F.struct(judged(s).alias("b"), s.alias("segment"))).alias("_s"),
+        F.when(marked(F.col("_t")), F.transform(segments, lambda s: F.struct(judged(s).alias("b"), s.alias("segment")))).otherwise(none).alias("_s"),
     )
     hits = F.filter("_s", lambda s: F.coalesce(s["b"]["dice"] >= threshold, F.lit(False)))
     matches = F.transform(
@@ -204,7 +235,7 @@ w AS (
     lambda x: x <> '') AS words FROM seg),
 g AS (
   SELECT doc_id, segment, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams
-  FROM w WHERE len(words) BETWEEN 2 AND 400),
+  FROM w WHERE len(words) > 1),
 s AS (
   SELECT doc_id, segment, max(struct_pack(d := 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)),
     o := ord, l := license)) AS b

@@ -481,6 +481,24 @@ def test_licenses_match_sql(spark, sf_dir, documents):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str) and got.columns == want.columns
 
 
+def test_anchors_lose_no_match(spark):
+    """Texts made of some of a template's words, with and without the anchors' filter."""
+    rng = random.Random(12)
+    rows = []
+    for text in L.TEMPLATES.values():
+        w = text.split()
+        for _ in range(6):
+            cut = [x for x in w if rng.random() > 0.08] if rng.random() < 0.5 else w[: rng.randint(2 * len(w) // 3, len(w))]
+            rows.append(" ".join(cut + ["other"] * rng.randint(0, 2)))
+    grams = {n: set(L.template_bigrams(t)) for n, t in L.TEMPLATES.items()}
+    got = by_id(L.op9_license_scan(frame(spark, rows)))
+    for i, row in enumerate(rows):
+        own = set(L.template_bigrams(row))
+        best = max(2 * len(own & g) / (len(own) + len(g)) for g in grams.values())
+        assert (got[i]["best_dice"] or 0) == (round(best, 9) if best >= L.THRESHOLD else 0)
+    assert any(r["best_dice"] for r in got.values())
+
+
 def test_whole_licenses_are_found(spark):
     every = [L.TEMPLATES["MIT"], "Released under the MIT License!", L.TEMPLATES["GPL-3.0-header"].replace("program", "library"), *ODD]
     got = by_id(L.op9_license_scan(frame(spark, every)))
