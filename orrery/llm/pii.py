@@ -384,6 +384,7 @@ def op3_pii(docs: DataFrame) -> DataFrame:
         F.sha2("base", 256).alias("base_sha256"),
         "spans",
         *(f"n_{k}" for k in ADDED),
+        sum((F.col(f"n_{k}") for k in (*BASE, *ADDED)), F.lit(0).cast("bigint")).alias("n_spans"),
     )
 
 
