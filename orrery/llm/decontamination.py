@@ -29,7 +29,8 @@ from orrery.llm.common import lean_batches, tidy
 
 WINDOW = 8
 LEAST_ITEMS = 2
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark in one matcher, which takes some 140 bytes for each, on the driver and in every worker.
+BLOCK_CHARS = 1_000_000
 
 # Word bytes of the contract, after A-Z are lower-cased; bytes of other characters are 80 to FF.
 _TO_WORDS = bytes(
