@@ -19,10 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; an own one only where that is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; an own one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if spark not in _own_folders:
         _own_folders[spark] = tempfile.mkdtemp(prefix="orrery-checkpoint-")
     return _own_folders[spark]
