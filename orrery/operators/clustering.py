@@ -6,7 +6,9 @@ driver; every row is then assigned by the executors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +28,21 @@ def sampled(vectors: DataFrame, rows: int, seed: int = 42, id_col: str = "vec_id
     return got["i"].to_numpy(), matrix(got["v"].combine_chunks()) if got.num_rows else np.empty((0, 0))
 
 
+def resampled(vectors: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """About ``rows`` rows drawn with replacement: each as often as a Poisson variable of its share says, by hash of its id."""
+    share = rows / max(1, vectors.count())
+    u = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    # the Poisson distribution's steps, until what is left is below the hash's grain
+    steps, p, total, k = [], math.exp(-share), 0.0, 0
+    while total < 1 - 1e-15 and k < 1000:
+        total += p
+        steps.append(total)
+        k += 1
+        p *= share / k
+    times = reduce(lambda a, b: a + b, ((u >= F.lit(t)).cast("int") for t in steps))
+    return vectors.withColumn("_times", times).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+
+
 def strided(vectors: DataFrame, ratio: float, id_col: str = "vec_id") -> DataFrame:
     """Every round(1 / ratio)-th row by id: no ranking of the whole table."""
     return vectors.where(F.pmod(F.col(id_col), F.lit(max(1, round(1 / ratio)))) == 0)
@@ -128,8 +145,29 @@ class Tree:
         return [(i, parent.get(i, -1), int(self.center_ids[i]), not self.children[i]) for i in range(len(self.children))]
 
 
-def bk_tree(ids: np.ndarray, x: np.ndarray, fan_out: int = 32, leaf: int = 8, sample: int = 1000, depth: int = 50, seed: int = 42) -> Tree:
-    """Balanced k-means splits; a child's center is its row nearest to the mean."""
+def lloyd(x: np.ndarray, k: int, rounds: int = 100, seed: int = 42) -> KMeans:
+    """Plain rounds from random rows until nothing moves, or ``rounds``."""
+    rng = np.random.default_rng(seed)
+    centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    last = None
+    for _ in range(rounds):
+        own = distances("l2", x, centers).argmin(1)
+        if last is not None and (own == last).all():
+            break
+        last = own
+        for c in np.unique(own):
+            centers[c] = x[own == c].mean(0)
+    found = distances("l2", x, centers)
+    own = found.argmin(1)
+    return KMeans(centers, float(found.min(1).sum()), np.bincount(own, minlength=len(centers)))
+
+
+def bk_tree(ids: np.ndarray, x: np.ndarray, fan_out: int = 32, leaf: int = 8, sample: int = 1000, depth: int = 50, seed: int = 42, medoids: bool = False) -> Tree:
+    """Balanced k-means splits; a child's center is its row nearest to the mean, or the row with the least sum of distances.
+
+    Sums of squared distances to all rows are least where the distance to the mean is, so both are one row up to ties;
+    ``medoids`` takes plain distances, over at most ``sample`` of the rows.
+    """
     tree = Tree("bk")
     todo = [(tree.add(len(x)), np.arange(len(x)), 0)]
     while todo:
@@ -144,6 +182,9 @@ def bk_tree(ids: np.ndarray, x: np.ndarray, fan_out: int = 32, leaf: int = 8, sa
             continue
         for part in parts:
             mid = part[((x[part] - x[part].mean(0)) ** 2).sum(1).argmin()]
+            if medoids:
+                some = part[:: max(1, len(part) // sample)][:sample]
+                mid = some[np.sqrt(distances("l2", x[some], x[some])).sum(1).argmin()]
             child = tree.add(len(part), x[mid], int(ids[mid]))
             tree.children[node].append(child)
             todo.append((child, part, level + 1))
@@ -180,20 +221,43 @@ def split_tree(x: np.ndarray, kind: str, leaf: int, top: int = 5, tries: int = 1
     return tree
 
 
-def _leaves(shared):
+def _leaves(shared, extra):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf = shared.value.leaf_of(matrix(batch.column(1)))
+                x = matrix(batch.column(1))
+                leaf = shared.value.leaf_of(x)
+                if extra is not None:
+                    planes, bits = extra.value
+                    signs = (x @ planes.T > 0).astype(np.int64)
+                    for node in np.unique(leaf).tolist():
+                        if n := bits.get(node, 0):
+                            rows = leaf == node
+                            leaf[rows] = node + len(shared.value.children) * (1 + signs[rows][:, :n] @ (1 << np.arange(n)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf, pa.int64())], ["vec_id", "node_id"])
 
     return run
 
 
-def memberships(vectors: DataFrame, tree: Tree) -> DataFrame:
-    """vec_id, node_id: the leaf of every row."""
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)
-    return vectors.select("vec_id", "embedding").mapInArrow(_leaves(shared), "vec_id bigint, node_id bigint")
+def memberships(vectors: DataFrame, tree: Tree, most: int | None = None, seed: int = 42) -> DataFrame:
+    """vec_id, node_id: the leaf of every row.
+
+    A tree fitted on a sample has leaves that grow with the table: those with more than ``most`` rows are split on by the
+    signs of seeded projections, as many as halve them below ``most``.
+    """
+    sc = vectors.sparkSession.sparkContext
+    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    shared = sc.broadcast(tree)
+    plain = rows.mapInArrow(_leaves(shared, None), "vec_id bigint, node_id bigint")
+    if most is None:
+        return plain
+    # a row a leaf, and the tree itself is on the driver
+    large = {r["node_id"]: int(np.ceil(np.log2(r["count"] / most))) for r in plain.groupBy("node_id").count().where(F.col("count") > most).collect()}
+    if not large:
+        return plain
+    dim = rows.select(F.size("embedding")).first()[0]
+    planes = np.random.default_rng(seed).normal(size=(max(large.values()), dim))
+    return rows.mapInArrow(_leaves(shared, sc.broadcast((planes, large))), "vec_id bigint, node_id bigint")
 
 
 def _picked(tree: Tree, select: int, split: int) -> set[int]:

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ DECIMALS = 9
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column, which must have one length, as doubles."""
+    lengths = pc.unique(pc.list_value_length(column))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths.to_pylist(), key=str)[:5]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -104,9 +108,10 @@ def _by_row(shared, metric: str, k: int):
                 part = batch.slice(at, step)
                 found = distances(metric, matrix(part.column(1)), points)
                 near = first_k(found, point_ids, k)
-                yield _pairs(
+                pairs = _pairs(
                     np.repeat(part.column(0).to_numpy(), near.shape[1]), point_ids[near].ravel(), np.take_along_axis(found, near, 1).ravel()
                 )
+                yield pairs.append_column("rank", pa.array(np.tile(np.arange(1, near.shape[1] + 1), len(near)), pa.int32()))
 
     return run
 
@@ -149,10 +154,12 @@ def nearest_points(
 ) -> DataFrame:
     """query_id (the row), vec_id (the point), distance, rank: the nearest of a stated set for every row.
 
-    With one block the rows need no shuffle; ranks are counted within a row.
+    With one block of points the rows need no shuffle: each has its whole list at once.
     """
     sc = vectors.sparkSession.sparkContext
     rows = vectors.where(F.col(vec).isNotNull()).select(F.col(vec_id).cast("bigint"), F.col(vec))
-    found = [rows.mapInArrow(_by_row(sc.broadcast(b), metric, k), PAIRS) for b in blocks(points, point_id, point_vec)]
-    pairs = reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], PAIRS)
-    return ranked(pairs, k)
+    schema = f"{PAIRS}, rank int"
+    found = [rows.mapInArrow(_by_row(sc.broadcast(b), metric, k), schema) for b in blocks(points.where(F.col(point_vec).isNotNull()), point_id, point_vec)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return found[0] if len(found) == 1 else ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)

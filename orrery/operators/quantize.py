@@ -108,10 +108,30 @@ def encode(vectors: np.ndarray, centroids: np.ndarray, bits: int) -> dict[str, n
     }
 
 
-CODES = (
-    "head_id bigint, vec_id bigint, code array<smallint>, f_add double, f_rescale double, "
-    "r_square double, r_dot_c double, scale double"
-)
+#: Factors are floats; a code of dim * bits bits lies in 64-bit words, lowest first.
+FACTORS = ("f_add", "f_rescale", "r_square", "r_dot_c", "scale")
+CODES = "head_id bigint, vec_id bigint, code array<bigint>, " + ", ".join(f"{f} float" for f in FACTORS)
+
+
+def packed_words(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of codes as rows of 64-bit words; the last word is padded with zeros."""
+    each = 64 // bits
+    n, dim = codes.shape
+    whole = np.zeros((n, -(-dim // each) * each), np.uint64)
+    whole[:, :dim] = codes
+    shifts = np.arange(each, dtype=np.uint64) * np.uint64(bits)
+    return np.bitwise_or.reduce(whole.reshape(n, -1, each) << shifts, axis=2).view(np.int64)
+
+
+def code_values(bits: int, dim: Column, code: str = "code") -> Column:
+    """The codes 0 .. 2**bits - 1 that ``packed_words`` laid down."""
+    each, mask = 64 // bits, (1 << bits) - 1
+
+    def value(i: Column) -> Column:
+        word, place = F.floor(i / each).cast("int"), (i % each) * bits
+        return F.call_function("shiftrightunsigned", F.get(F.col(code), word), place).bitwiseAND(F.lit(mask).cast("bigint"))
+
+    return F.transform(F.sequence(F.lit(0), dim - 1), value)
 
 
 def _encoded(bits: int):
@@ -120,8 +140,8 @@ def _encoded(bits: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 made = encode(matrix(part.column(2)), matrix(part.column(3)), bits)
-                codes = pa.array(list(made.pop("code").astype(np.int16)), pa.list_(pa.int16()))
-                cols = [part.column(0), part.column(1), codes, *(pa.array(v, pa.float64()) for v in made.values())]
+                codes = pa.array(list(packed_words(made.pop("code"), bits)), pa.list_(pa.int64()))
+                cols = [part.column(0), part.column(1), codes, *(pa.array(v.astype(np.float32)) for v in made.values())]
                 yield pa.RecordBatch.from_arrays(cols, ["head_id", "vec_id", "code", *made])
 
     return run
@@ -136,25 +156,35 @@ def multi_bit(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def multi_bit_distance(bits: int, metric: str = "l2", query: str = "query_vec", centroid: str = "centroid") -> Column:
-    """Estimated distance of a query to a coded row."""
+    """Estimated distance of a query to a coded row; for ``cosine`` of unit vectors, 1 - the estimated inner product."""
     middle = (2 * levels(bits) - 1) / 2
-    x = F.transform("code", lambda k: k.cast("double") - F.lit(middle))
+    x = F.transform(code_values(bits, F.size(centroid)), lambda k: k.cast("double") - F.lit(middle))
     away = minus(query, centroid)
     if metric == "l2":
-        return F.col("f_add") + dot(away, away) + F.col("f_rescale") * dot(query, x)
+        return F.col("f_add").cast("double") + dot(away, away) + F.col("f_rescale").cast("double") * dot(query, x)
     # <v, q> = <c, q> + <r, c> + <r, q - c>
-    return -(dot(centroid, query) + F.col("r_dot_c") - F.col("f_rescale") / 2 * dot(away, x))
+    inner = dot(centroid, query) + F.col("r_dot_c").cast("double") - F.col("f_rescale").cast("double") / 2 * dot(away, x)
+    return 1 - inner if metric == "cosine" else -inner
 
 
 def reconstructed(bits: int, centroid: str = "centroid") -> Column:
     """c + scale * x, the least-squares inverse."""
     middle = (2 * levels(bits) - 1) / 2
-    return F.zip_with(doubles(centroid), F.col("code"), lambda c, k: c + F.col("scale") * (k.cast("double") - F.lit(middle)))
+    codes = code_values(bits, F.size(centroid))
+    return F.zip_with(doubles(centroid), codes, lambda c, k: c + F.col("scale").cast("double") * (k.cast("double") - F.lit(middle)))
+
 
+def query_code(query: str = "query_vec", centroid: str = "centroid") -> Column:
+    """Signs of a query's residual; the estimators keep the query whole and do not use them."""
+    return signs(minus(query, centroid))
 
-def code_bytes(dim: Column, bits: int) -> Column:
-    """Bytes of a row's packed codes and its factors."""
-    return F.ceil(dim * bits / 8) + 16
+
+def code_bytes(rows: DataFrame) -> DataFrame:
+    """Rows, bytes of vectors at four an element, and bytes of the codes and factors as they are held."""
+    held = F.size("code") * 8 + 4 * len(FACTORS)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("embedding").cast("bigint") * 4).alias("raw_bytes"), F.sum(held.cast("bigint")).alias("code_bytes")
+    )
 
 
 def code_sum(query: Column | str) -> Column:

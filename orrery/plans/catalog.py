@@ -7,9 +7,9 @@ Distances are compared to nine decimals and reported to six.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +47,78 @@ ASSIGNED = f"""a AS (SELECT head_id, vec_id, d AS head_dist, rank AS head_rank F
   WHERE rank <= {REPLICAS})"""
 POSTINGS = f"""p AS (SELECT * FROM (SELECT head_id, vec_id, head_dist, row_number() OVER
   (PARTITION BY head_id ORDER BY head_dist, vec_id) AS pos FROM a) WHERE pos <= {LIMIT})"""
-PROBED = f"""b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, head_id) AS head_rank
-  FROM (SELECT query_id, head_id, {l2("qv", "hv")} AS d FROM q, h)) WHERE head_rank <= {PROBES})"""
-CANDIDATES = f"""c AS (SELECT query_id, vec_id, head_id FROM (SELECT *, row_number() OVER
+
+
+def index_sql(probes: int = PROBES, check: int = CHECK) -> str:
+    """Probed heads (b) and candidates (c) of each query, after the tables that they need."""
+    probed = f"""b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, head_id) AS head_rank
+  FROM (SELECT query_id, head_id, {l2("qv", "hv")} AS d FROM q, h)) WHERE head_rank <= {probes})"""
+    candidates = f"""c AS (SELECT query_id, vec_id, head_id FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY head_rank, pos) AS n FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id, vec_id ORDER BY head_rank, pos) AS once FROM b JOIN p USING (head_id)) WHERE once = 1)
-  WHERE n <= {CHECK})"""
-INDEX = ", ".join((E, QS, HEADS, ASSIGNED, POSTINGS, PROBED, CANDIDATES))
-FOUND = f"""f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM
-  (SELECT query_id, vec_id, {l2("qv", "v")} AS d FROM c JOIN q USING (query_id) JOIN e USING (vec_id))) WHERE rank <= {K})"""
+  WHERE n <= {check})"""
+    return ", ".join((E, QS, HEADS, ASSIGNED, POSTINGS, probed, candidates))
+
+
+INDEX = index_sql()
+
+
+def found_sql(name: str = "f", among: str = "c") -> str:
+    """The K nearest of the candidates, by exact distance."""
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM
+  (SELECT query_id, vec_id, {l2("qv", "v")} AS d FROM {among} JOIN q USING (query_id) JOIN e USING (vec_id))) WHERE rank <= {K})"""
+
+
+FOUND = found_sql()
+
+
+def codes_sql(bits: int, rows: str) -> str:
+    """z (head_id, vec_id, v, c, x, n and factors) from ``rows``, a query of head_id, vec_id, v and its centroid c.
+
+    The scale is the one of all places where a code steps up that makes the code most parallel to the residual.
+    """
+    half, top = 1 << (bits - 1), (1 << (bits - 1)) - 1
+    sign = "CASE WHEN y[1] >= 0 THEN {half} + y[2] ELSE {half} - 1 - y[2] END".format(half=half)
+    scaled = f"""zs AS (SELECT *, list_transform(r, lambda y: abs(y) / CASE WHEN sqrt({ip('r', 'r')}) > 1e-12 THEN sqrt({ip('r', 'r')}) ELSE 1 END) AS a FROM zr)"""
+    if top:
+        best = f"""zu AS (SELECT head_id, vec_id, unnest(a) AS a, generate_subscripts(a, 1) AS i, 0.5 * list_sum(a) AS base, 0.25 * len(a) AS square FROM zs),
+zw AS (SELECT head_id, vec_id, j / a AS t, base / sqrt(square) AS start, (base + sum(a) OVER w) / sqrt(square + sum(2.0 * j) OVER w) AS quotient
+  FROM zu, range(1, {top + 1}) s(j) WHERE a > 0 WINDOW w AS (PARTITION BY head_id, vec_id ORDER BY j / a, i, j ROWS UNBOUNDED PRECEDING)),
+zt AS (SELECT head_id, vec_id, CASE WHEN max(quotient) >= any_value(start) THEN arg_max(t, quotient) ELSE 0 END AS t FROM zw GROUP BY head_id, vec_id),
+zm AS (SELECT zs.*, list_transform(a, lambda y: least(floor(coalesce(t, 0) * y + 1e-9), {top})) AS g FROM zs LEFT JOIN zt USING (head_id, vec_id))"""
+    else:
+        best = "zm AS (SELECT *, list_transform(a, lambda y: 0) AS g FROM zs)"
+    return f"""zr AS (SELECT *, list_transform(list_zip(v, c), lambda y: y[1] - y[2]) AS r FROM ({rows})), {scaled}, {best},
+zx AS (SELECT *, list_transform(list_zip(r, g), lambda y: ({sign}) - {(2 * half - 1) / 2}::DOUBLE) AS x FROM zm),
+zp AS (SELECT *, {ip('r', 'r')} AS n, {ip('r', 'x')} AS p, {ip('x', 'x')} AS xx FROM zx),
+zf AS (SELECT *, CASE WHEN abs(p) > 1e-12 THEN n / p ELSE 0 END AS ratio FROM zp),
+z AS (SELECT head_id, vec_id, v, c, x, CAST(CAST(n + 2 * ratio * {ip('c', 'x')} AS FLOAT) AS DOUBLE) AS f_add, CAST(CAST(-2 * ratio AS FLOAT) AS DOUBLE) AS f_rescale,
+  CAST(CAST(n AS FLOAT) AS DOUBLE) AS r_square, CAST(CAST({ip('r', 'c')} AS FLOAT) AS DOUBLE) AS r_dot_c, CAST(CAST(CASE WHEN xx > 0 THEN p / xx ELSE 0 END AS FLOAT) AS DOUBLE) AS scale FROM zf)"""
+
+
+CODED_ROWS = "SELECT head_id, vec_id, v, hv AS c FROM p JOIN h USING (head_id) JOIN e USING (vec_id)"
+AWAY = "list_transform(list_zip(qv, c), lambda y: y[1] - y[2])"
+ESTIMATED = {
+    "l2": f"f_add + {ip(AWAY, AWAY)} + f_rescale * {ip('qv', 'x')}",
+    "ip": f"-({ip('c', 'qv')} + r_dot_c - f_rescale / 2 * {ip(AWAY, 'x')})",
+}
+
+
+def coded_search_sql(bits: int, name: str, take: int, probes: int = PROBES) -> str:
+    """``name``: the ``take`` nearest candidates by estimate."""
+    return f"""{index_sql(probes)}, {codes_sql(bits, CODED_ROWS)}, {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM
+  (SELECT query_id, vec_id, {ESTIMATED['l2']} AS d FROM c JOIN q USING (query_id) JOIN z USING (head_id, vec_id))) WHERE rank <= {take})"""
+
+
+def recall_sql(found: str) -> str:
+    """n_queries and mean recall of table ``found`` against t."""
+    return f"""SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall FROM (SELECT t.query_id, count(f.vec_id) / {K}.0 AS recall
+FROM t LEFT JOIN {found} f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY t.query_id)"""
+
+
+def settings_sql(rows: list[tuple[str, str]]) -> str:
+    """A row a setting, each of its own WITH."""
+    return " UNION ALL ".join(f"SELECT {named}, * FROM (WITH {body})" for named, body in rows)
 
 
 def knn_sql(distance: str) -> str:
@@ -85,6 +148,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; an own one only where that is unset and all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="orrery-index-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -265,7 +338,8 @@ def posting_prune(spark, d):
 
 
 @query("posting_stats", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, k AS (SELECT head_id, count(*) AS n FROM p GROUP BY head_id)
-SELECT count(*) AS n_postings, CAST(sum(n) AS BIGINT) AS n_rows, min(n) AS least, max(n) AS most FROM k""")
+SELECT count(*) AS n_postings, CAST(sum(n) AS BIGINT) AS n_rows, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean,
+(SELECT count(DISTINCT vec_id) FROM p) AS n_vectors, round(sum(n) / (SELECT count(DISTINCT vec_id) FROM p), 6) AS replicas FROM k""")
 def posting_stats(spark, d):
     e = emb(spark, d)
     return VectorIndex(config(), e, heads_of(e), postings_of(e)).posting_stats()
@@ -291,7 +365,7 @@ def index_of(spark, d, **more) -> VectorIndex:
     return VectorIndex(config(**more), e.select("vec_id", "embedding"), heads_of(e), postings_of(e))
 
 
-@query("head_probe", f"WITH {E}, {QS}, {HEADS}, {PROBED} SELECT query_id, head_id, CAST(head_rank AS INT) AS head_rank FROM b")
+@query("head_probe", f"WITH {INDEX} SELECT query_id, head_id, CAST(head_rank AS INT) AS head_rank FROM b")
 def head_probe(spark, d):
     return index_of(spark, d).probed(stated(emb(spark, d))).select("query_id", "head_id", F.col("head_rank").cast("int").alias("head_rank"))
 
@@ -415,7 +489,15 @@ def onebit_rerank(spark, d):
 
 
 def _multi(name: str, bits: int):
-    @query(f"{name}_{bits}bit")
+    sql = {
+        "coded_search": f"WITH {coded_search_sql(bits, 'w', K)} {shown('w')}",
+        "rerank_search": f"WITH {coded_search_sql(bits, 'w', 3 * K)}, {found_sql('f', 'w')} {shown('f')}",
+        "reconstruct_error": f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, {codes_sql(bits, CODED_ROWS)}, y AS (SELECT r_square,
+list_transform(list_zip(list_zip(c, x), v), lambda y: y[1][1] + scale * y[1][2] - y[2]) AS w FROM z)
+SELECT count(*) AS n, round(avg({ip('w', 'w')}), 6) AS mean_square, round(avg(r_square), 6) AS residual FROM y""",
+    }
+
+    @query(f"{name}_{bits}bit", sql[name])
     def run(spark, d):
         i = index_of(spark, d, bits=bits)
         i.postings = i.postings.join(Q.multi_bit(gathered(spark, d), bits), ["head_id", "vec_id"])
@@ -427,7 +509,7 @@ def _multi(name: str, bits: int):
         centers = i.heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
         rows = i.postings.join(centers, "head_id").join(e.select("vec_id", "embedding"), "vec_id")
         away = V.minus(Q.reconstructed(bits), F.col("embedding"))
-        return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(away, away)), 6).alias("mean_square"), F.round(F.avg("r_square"), 6).alias("residual"))
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(away, away)), 6).alias("mean_square"), F.round(F.avg(F.col("r_square").cast("double")), 6).alias("residual"))
 
     return run
 
@@ -437,16 +519,78 @@ for _bits in (1, 2, 4):
         _multi(_name, _bits)
 
 
-@query("size_accounting", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, t AS (SELECT count(*) AS n, CAST(sum(4 * len(v)) AS BIGINT) AS raw FROM p JOIN e USING (vec_id))
-SELECT bits, n AS n_rows, raw AS raw_bytes, CAST(n * (ceil(64 * bits / 8.0) + 16) AS BIGINT) AS code_bytes, round(raw / (n * (ceil(64 * bits / 8.0) + 16)), 6) AS ratio
+@query("size_accounting", f"""WITH {E}, {HEADS}, {ASSIGNED}, {POSTINGS}, t AS (SELECT count(*) AS n, CAST(sum(4 * len(v)) AS BIGINT) AS raw, any_value(len(v)) AS dim FROM p JOIN e USING (vec_id))
+SELECT bits, n AS n_rows, raw AS raw_bytes, CAST(n * (8 * ceil(dim * bits / 64.0) + 20) AS BIGINT) AS code_bytes, round(raw / (n * (8 * ceil(dim * bits / 64.0) + 20)), 6) AS ratio
 FROM t, (VALUES (1), (2), (4)) b(bits)""")
 def size_accounting(spark, d):
-    rows = gathered(spark, d).select(F.size("embedding").alias("dim"), F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("bits"))
-    sums = rows.groupBy("bits").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("dim").cast("bigint") * 4).alias("raw_bytes"),
-        F.sum((F.ceil(F.col("dim") * F.col("bits") / 8) + 16).cast("bigint")).alias("code_bytes"),
-    )
-    return sums.withColumn("ratio", F.round(F.col("raw_bytes") / F.col("code_bytes"), 6))
+    """Bytes of the vectors and of the codes as the index holds them."""
+    found = None
+    for bits in (1, 2, 4):
+        rows = gathered(spark, d)
+        row = Q.code_bytes(rows.join(Q.multi_bit(rows, bits), ["head_id", "vec_id"])).withColumn("bits", F.lit(bits))
+        found = row if found is None else found.unionByName(row)
+    return found.withColumn("ratio", F.round(F.col("raw_bytes") / F.col("code_bytes"), 6))
+
+
+def _quality_sql(bits: int, metric: str) -> str:
+    rows = "SELECT 0 AS head_id, vec_id, v, c FROM e, m"
+    exact = l2("qv", "v") if metric == "l2" else f"-{ip('qv', 'v')}"
+    return f"""{E}, {QS}, {CENTER}, {codes_sql(bits, rows)}, s AS (SELECT query_id, vec_id, {ESTIMATED[metric]} AS d, {exact} AS true_d FROM q, z),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY round(true_d, 9), vec_id) AS b FROM s)
+SELECT round(count(*) FILTER (WHERE a <= {K} AND b <= {K}) / (count(*) FILTER (WHERE b <= {K}))::DOUBLE, 6) AS recall, round(corr(d, true_d), 5) AS correlation FROM r"""
+
+
+@query("quantizer_quality", settings_sql([(f"{b} AS bits, '{m}' AS metric", _quality_sql(b, m)) for b in (1, 2, 4) for m in ("l2", "ip")]))
+def quantizer_quality(spark, d):
+    """Recall of the estimates' ranking, and their correlation with exact distances, with one centroid for all rows."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    rows = e.crossJoin(F.broadcast(mean_vectors(e, []))).withColumn("head_id", F.lit(0).cast("bigint"))  # one centroid
+    q = stated(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    by, found = Window.partitionBy("query_id"), None
+    for bits in (1, 2, 4):
+        coded_rows = rows.join(Q.multi_bit(rows, bits), ["head_id", "vec_id"])
+        for metric in ("l2", "ip"):
+            pairs = against(coded_rows, q).withColumn("d", Q.multi_bit_distance(bits, metric)).withColumn("true_d", V.distance(metric, "query_vec", "embedding"))
+            placed = pairs.withColumn("a", F.row_number().over(by.orderBy(F.round("d", 9), "vec_id"))).withColumn("b", F.row_number().over(by.orderBy(F.round("true_d", 9), "vec_id")))
+            near = F.col("b") <= K
+            row = placed.agg(
+                F.round(F.count_if(near & (F.col("a") <= K)) / F.count_if(near), 6).alias("recall"), F.round(F.corr("d", "true_d"), 5).alias("correlation")
+            ).select(F.lit(bits).alias("bits"), F.lit(metric).alias("metric"), "recall", "correlation")
+            found = row if found is None else found.unionByName(row)
+    return found
+
+
+_NEAREST_HEAD = "SELECT head_id, vec_id, v, hv AS c FROM a JOIN h USING (head_id) JOIN e USING (vec_id) WHERE head_rank = 1"
+
+
+@query("reconstructed_search", f"""WITH {E}, {QS}, {HEADS}, {ASSIGNED}, {codes_sql(4, _NEAREST_HEAD)}, {TRUE},
+y AS (SELECT vec_id, list_transform(list_zip(c, x), lambda y: y[1] + scale * y[2]) AS w FROM z),
+f AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {l2('qv', 'w')}, vec_id) AS rank FROM q, y) WHERE rank <= {K}) {recall_sql('f')}""")
+def reconstructed_search(spark, d):
+    """Recall of a search over vectors that were coded by four bits against their nearest head, and made from the codes again."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    heads = heads_of(e)
+    near = nearest_points(e, heads, 1).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("head_id"))
+    centers = heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
+    rows = near.join(centers, "head_id").join(e, "vec_id")
+    made = rows.select("head_id", "vec_id", "centroid").join(Q.multi_bit(rows, 4), ["head_id", "vec_id"])
+    made = made.select("vec_id", Q.reconstructed(4).alias("embedding"))
+    return mean_recall(knn_join(stated(e), made, K), knn_join(stated(e), e, K), K).select("n_queries", *six("recall"))
+
+
+_AXES = [(0, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0), (4, 0.7, 0.7)]
+
+
+@query("onebit_steps", f"""WITH e AS (SELECT * FROM (VALUES {", ".join(f"({i}, [{x}, {y}]::DOUBLE[])" for i, x, y in _AXES)}) t(vec_id, v)),
+s AS (SELECT vec_id, v, list_transform(v, lambda y: CASE WHEN y > 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS x FROM e), f AS (SELECT *, {ip('v', 'v')} AS n, {ip('v', 'x')} AS p FROM s)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, round(n, 6) AS f_add, round(-2 * n / p, 6) AS f_rescale,
+round(n + 0.82 + -2 * n / p * {ip('[0.9, 0.1]::DOUBLE[]', 'x')}, 6) AS estimate, round({l2('[0.9, 0.1]::DOUBLE[]', 'v')}, 6) AS exact FROM f""")
+def onebit_steps(spark, d):
+    """Factors, estimate and exact distance on five rows of two dimensions, from the centroid 0."""
+    rows = spark.createDataFrame([(i, [x, y]) for i, x, y in _AXES], "vec_id bigint, embedding array<double>")
+    rows = rows.withColumn("centroid", F.array(F.lit(0.0), F.lit(0.0))).withColumn("query_vec", F.array(F.lit(0.9), F.lit(0.1)))
+    steps = Q.one_bit(rows).withColumn("estimate", Q.one_bit_l2()).withColumn("exact", V.l2_distance("query_vec", "embedding"))
+    return steps.select("vec_id", *six("f_add", "f_rescale", "estimate", "exact"))
 
 
 # --- graphs and trees -------------------------------------------------------------------------------------------------
@@ -475,19 +619,130 @@ def graph_degree_stats(spark, d):
     return n.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("count").alias("n_edges"), F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"))
 
 
-@query("refined_graph", f"WITH {E}, {EDGES} SELECT src, dst, round(d, 6) AS dist, CAST(rank AS INT) AS rank FROM x")
+RING = f"""i AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM e),
+o AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM i a, range(1, 9) s(k) JOIN i b ON b.place = (a.place + k) % a.n)"""
+
+
+@query("refined_graph", f"""WITH {E}, {RING}, w AS (SELECT src, dst FROM o UNION SELECT a.src, b.dst FROM o a JOIN o b ON a.dst = b.src WHERE a.src <> b.dst),
+x AS (SELECT src, dst, {l2('a.v', 'b.v')} AS d FROM w JOIN e a ON a.vec_id = src JOIN e b ON b.vec_id = dst)
+SELECT src, dst, round(d, 6) AS dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM x) WHERE rank <= 8""")
 def refined_graph(spark, d):
-    """An exact graph is a fixed point of refinement."""
-    e = emb(spark, d)
-    return G.refine(edges_of(spark, d), e, 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
+    """One round from a poor graph: each row linked to the eight next by id."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    place = Window.orderBy("vec_id")  # ids alone
+    ids = e.select("vec_id").withColumn("place", F.row_number().over(place) - 1)
+    n = ids.count()
+    steps = ids.select(F.col("vec_id").alias("src"), F.explode(F.expr(f"transform(sequence(1, 8), k -> (place + k) % {n})")).alias("place"))
+    ring = steps.join(ids.withColumnRenamed("vec_id", "dst"), "place").select("src", "dst")
+    return G.refine(ring, e, 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
+
 
+PRUNED = f"""k AS (SELECT vec_id AS src, 0 AS place, CAST([] AS DOUBLE[][]) AS kept, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS DOUBLE) AS d, FALSE AS stays FROM e UNION ALL
+SELECT src, place, CASE WHEN stays THEN list_append(kept, v) ELSE kept END, dst, d, stays FROM (SELECT k.src, k.place + 1 AS place, k.kept, x.dst, x.d, e.v,
+coalesce(list_bool_and(list_transform(k.kept, lambda y: {l2('y', 'e.v')} >= x.d)), TRUE) AS stays FROM k JOIN x ON x.src = k.src AND x.rank = k.place + 1 JOIN e ON e.vec_id = x.dst))"""
 
-@query("rng_prune")
+
+@query("rng_prune", f"WITH RECURSIVE {E}, {EDGES}, {PRUNED} SELECT src, dst, round(d, 6) AS dist, CAST(row_number() OVER (PARTITION BY src ORDER BY place) AS INT) AS rank FROM k WHERE stays")
 def rng_prune(spark, d):
     e = emb(spark, d).select("vec_id", "embedding")
     return G.prune_relative(edges_of(spark, d), e, 8).select("src", "dst", *six("dist"), "rank")
 
 
+N_QUERIES = "SELECT count(*) AS n_queries, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def reached(found: DataFrame, truth: DataFrame, least: float) -> DataFrame:
+    """n_queries, and whether the mean recall is at least ``least``."""
+    return mean_recall(found, truth, K).select("n_queries", (F.col("recall") >= least).alias("reached"))
+
+
+@query("index_complete", "SELECT count(*) AS n_indexed FROM embeddings")
+def index_complete(spark, d):
+    """Rows in some list of an index whose heads were chosen from a sample smaller than the table."""
+    e = emb(spark, d)
+    return VectorIndex.build(e, IndexConfig(ratio=RATIO, head_sample=200, replicas=4, posting_limit=1)).postings.agg(F.countDistinct("vec_id").alias("n_indexed"))
+
+
+@query("ip_index_recall", N_QUERIES)
+def ip_index_recall(spark, d):
+    """Inner products of vectors of unequal norms: nine of ten of the true neighbours are found."""
+    e = emb(spark, d)
+    uneven = e.select("vec_id", F.transform("embedding", lambda x: (x * (1 + F.col("label"))).cast("float")).alias("embedding"))
+    index = VectorIndex.build(uneven, config(metric="ip", probes=12, max_check=1 << 20))
+    return reached(index.search(stated(uneven), K), knn_join(stated(uneven), uneven, K, "ip"), 0.9)
+
+
+@query("head_graph_recall", N_QUERIES)
+def head_graph_recall(spark, d):
+    """Heads found through their tree and graph, against all heads compared."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    heads = C.strided(e, 0.5)
+    links, nodes = G.head_graph(heads)
+    return reached(G.graph_search(stated(e), heads, links, K, entries=4, max_checks=1024, tree=nodes), knn_join(stated(e), heads, K), 0.9)
+
+
+@query("graph_index_search", N_QUERIES)
+def graph_index_search(spark, d):
+    """An index that looks for its heads in their graph, stored, loaded and searched."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    path = scratch(spark, "graph-index")
+    VectorIndex.build(e, config(head_search="graph", probes=16, max_check=1 << 20)).save(path)
+    return reached(VectorIndex.load(spark, path).search(stated(e), K), knn_join(stated(e), e, K), 0.9)
+
+
+def _single_level(name: str, **more):
+    @query(name, N_QUERIES)
+    def run(spark, d):
+        """One graph over all rows, searched from a tree's centers or from single entries."""
+        e = emb(spark, d).select("vec_id", "embedding")
+        links = G.refine(G.tree_seeded(e, 16, leaf=150), e, 16)
+        tree = None
+        if more.get("tree"):
+            ids, x = C.sampled(e, C.SAMPLE_ROWS)
+            tree = spark.createDataFrame(C.bk_tree(ids, x, medoids=more.get("medoids", False)).table(), "node_id bigint, parent_id bigint, center_id bigint, is_leaf boolean")
+        found = G.graph_search(stated(e), e, links, K, entries=more["entries"], max_checks=more["checks"], beam=more.get("beam"), tree=tree)
+        return reached(found, knn_join(stated(e), e, K), 0.9)
+
+    return run
+
+
+_single_level("tree_entry_search", entries=8, checks=8192, tree=True, beam=64)
+_single_level("medoid_entry_search", entries=8, checks=8192, tree=True, medoids=True, beam=64)
+_single_level("single_entry_search", entries=1, checks=None, beam=128)
+
+
+@query("graph_from_index", "SELECT count(*) AS n_nodes, TRUE AS reached FROM embeddings")
+def graph_from_index(spark, d):
+    """Neighbours that an index's search finds, against the exact graph."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    index = index_of(spark, d, probes=12, max_check=1 << 20)
+    found = G.graph_from_search(e, index.search, 8).select("src", "dst").withColumn("hit", F.lit(1))
+    each = edges_of(spark, d).join(found, ["src", "dst"], "left").agg(F.countDistinct("src").alias("n_nodes"), F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    return each.select("n_nodes", (F.col("share") >= 0.9).alias("reached"))
+
+
+@query("resampled_rows", "SELECT TRUE AS near_n, TRUE AS repeats, 0::BIGINT AS n_strange")
+def resampled_rows(spark, d):
+    """As many draws with replacement as rows: about that many, some rows more than once, none that is not there."""
+    e = emb(spark, d).select("vec_id")
+    n = e.count()
+    got = C.resampled(e, n)
+    strange = got.join(e, "vec_id", "left_anti").count()
+    return got.agg(
+        (F.abs(F.count(F.lit(1)) - n) <= F.lit(6 * n**0.5)).alias("near_n"), (F.max("draw") > 1).alias("repeats"), F.lit(strange).cast("bigint").alias("n_strange")
+    )
+
+
+@query("lloyd_kmeans")
+def lloyd_kmeans(spark, d):
+    """Plain k-means to its end on a bounded sample; sizes and objective over all rows."""
+    e = emb(spark, d)
+    _, x = C.sampled(e, 10_000)
+    centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(C.lloyd(x, 10).centers)], "cluster bigint, center array<double>")
+    near = nearest_points(e, centers, 1, point_id="cluster", point_vec="center")
+    return near.groupBy(F.col("vec_id").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("distance"), 6).alias("objective"))
+
+
 @query("graph_search")
 def graph_search(spark, d):
     e = emb(spark, d).select("vec_id", "embedding")
@@ -513,13 +768,7 @@ _leaves("tptree_leaves", lambda ids, x: C.split_tree(x, "tp", 200))
 @query("tree_graph")
 def tree_graph(spark, d):
     """Neighbours within the leaves of four projection trees, the nearest eight kept."""
-    e = emb(spark, d)
-    ids, x = C.sampled(e, C.SAMPLE_ROWS)
-    members = [C.memberships(e, C.split_tree(x, "tp", 100, seed=s)).withColumn("tree_id", F.lit(s)) for s in range(4)]
-    every = members[0]
-    for m in members[1:]:
-        every = every.unionByName(m)
-    return G.leaf_graph(every, e, 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
+    return G.tree_seeded(emb(spark, d), 8).select("src", "dst", *six("dist"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("kdtree_search")
@@ -544,7 +793,7 @@ def kdtree_search(spark, d):
 def pruned_graph(spark, d):
     """Tree-seeded neighbours, refined and pruned twice."""
     e = emb(spark, d).select("vec_id", "embedding")
-    return G.refine_and_prune(edges_of(spark, d), e, 8, 16).select("src", "dst", *six("dist"), "rank")
+    return G.refine_and_prune(G.tree_seeded(e, 16), e, 8, 16).select("src", "dst", *six("dist"), "rank")
 
 
 # --- comparisons of settings: a row per setting ------------------------------------------------------------------------
@@ -558,7 +807,7 @@ def _recalls(settings: list[tuple], search, truth: DataFrame, names: list[str])
     return found
 
 
-@query("probe_sweep")
+@query("probe_sweep", settings_sql([(f"{p} AS probes, {c} AS max_check", f"{index_sql(p, c)}, {FOUND}, {TRUE} {recall_sql('f')}") for p in (4, 8, 16) for c in (100, 400)]))
 def probe_sweep(spark, d):
     """Recall by heads probed and candidates checked."""
     e = emb(spark, d)
@@ -574,7 +823,8 @@ def _coded_index(spark, d, bits: int, **more) -> VectorIndex:
     return i
 
 
-@query("quantization_compare")
+@query("quantization_compare", settings_sql([("0 AS bits", f"{index_sql(16)}, {FOUND}, {TRUE} {recall_sql('f')}"),
+    *((f"{b} AS bits", f"{coded_search_sql(b, 'f', K, 16)}, {TRUE} {recall_sql('f')}") for b in (1, 2, 4))]))
 def quantization_compare(spark, d):
     """Recall of the codes' own ranking by bits; 0 is exact distances."""
     e = emb(spark, d)
@@ -587,7 +837,7 @@ def quantization_compare(spark, d):
     return _recalls([(0,), (1,), (2,), (4,)], search, truth, ["bits"])
 
 
-@query("rerank_sweep")
+@query("rerank_sweep", settings_sql([(f"{r} AS rerank", f"{coded_search_sql(1, 'w', r * K, 16)}, {found_sql('f', 'w')}, {TRUE} {recall_sql('f')}") for r in (2, 5, 10)]))
 def rerank_sweep(spark, d):
     """Recall of 1-bit codes by how many times k candidates are ranked again."""
     e = emb(spark, d)
@@ -602,7 +852,7 @@ def hbc_heads(spark, d):
 
 @query("balanced_kmeans")
 def balanced_kmeans(spark, d):
-    """Centers from a bounded sample, sizes over all rows."""
+    """Centers from 1000 rows of a bounded sample, sizes over all rows."""
     e = emb(spark, d)
     _, x = C.sampled(e, 10_000)
     model = C.auto_balanced(x[:1000], 10)
@@ -611,6 +861,83 @@ def balanced_kmeans(spark, d):
     return near.groupBy(F.col("vec_id").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("distance"), 6).alias("objective"))
 
 
+# --- what must hold of results that depend on seeded trees -------------------------------------------------------------
+
+
+@query("tree_partitions", "SELECT kind, count(*) AS n_rows, count(DISTINCT vec_id) AS n_vectors, TRUE AS bounded FROM embeddings, (VALUES ('bk'), ('kd'), ('tp')) k(kind) GROUP BY kind")
+def tree_partitions(spark, d):
+    """Each row in one leaf of each kind of tree, fitted on few rows; leaves that the table overfills are split on."""
+    e, found = emb(spark, d), None
+    ids, x = C.sampled(e, 200)
+    for kind, tree in (("bk", C.bk_tree(ids, x)), ("kd", C.split_tree(x, "kd", 50)), ("tp", C.split_tree(x, "tp", 50))):
+        leaves = C.memberships(e, tree, 60)
+        sizes = leaves.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+        row = leaves.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("vec_id").alias("n_vectors")).crossJoin(sizes.agg((F.max("n") <= 120).alias("bounded")))
+        row = row.select(F.lit(kind).alias("kind"), "n_rows", "n_vectors", "bounded")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query("head_selection_holds", "SELECT TRUE AS near_ratio, 0::BIGINT AS n_strange")
+def head_selection_holds(spark, d):
+    e = emb(spark, d).select("vec_id", "embedding")
+    heads, n = C.select_heads(e, RATIO).select("vec_id").distinct(), e.count()
+    strange = heads.join(e, "vec_id", "left_anti").count()
+    return heads.agg((F.abs(F.count(F.lit(1)) - RATIO * n) <= max(2, 0.2 * RATIO * n)).alias("near_ratio"), F.lit(strange).cast("bigint").alias("n_strange"))
+
+
+@query("index_recall_holds", N_QUERIES)
+def index_recall_holds(spark, d):
+    return index_recall(spark, d).select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query("graph_search_holds", N_QUERIES)
+def graph_search_holds(spark, d):
+    e = emb(spark, d).select("vec_id", "embedding")
+    return reached(graph_search(spark, d), knn_join(stated(e), heads_of(e), K), 0.9)
+
+
+@query("kdtree_search_holds", N_QUERIES)
+def kdtree_search_holds(spark, d):
+    """Every query finds itself first."""
+    first = kdtree_search(spark, d).where("rank = 1")
+    return first.agg(F.count(F.lit(1)).alias("n_queries"), F.bool_and(F.col("query_id") == F.col("vec_id")).alias("reached"))
+
+
+@query("tree_graph_holds", "SELECT count(*) AS n_nodes, 0::BIGINT AS n_wrong, TRUE AS reached FROM embeddings")
+def tree_graph_holds(spark, d):
+    """True distances, no loops, and four of ten of the true neighbours from four trees' leaves alone."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    edges = G.tree_seeded(e, 8)
+    a, b = (e.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"v_{c}")) for c in ("src", "dst"))
+    right = (F.abs(V.l2_distance("v_src", "v_dst") - F.col("dist")) < 1e-6) & (F.col("src") != F.col("dst"))
+    checked = edges.join(a, "src").join(b, "dst").agg(F.countDistinct("src").alias("n_nodes"), F.count_if(~right).alias("n_wrong"))
+    true = edges_of(spark, d).select("src", "dst").join(edges.select("src", "dst").withColumn("hit", F.lit(1)), ["src", "dst"], "left")
+    return checked.crossJoin(true.agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.4).alias("reached")))
+
+
+@query("pruned_graph_holds", "SELECT count(*) AS n_nodes, 0::BIGINT AS n_against, TRUE AS bounded FROM embeddings")
+def pruned_graph_holds(spark, d):
+    """No edge whose end is nearer to an earlier neighbour of the same node; eight a node at most."""
+    e = emb(spark, d).select("vec_id", "embedding")
+    edges = pruned_graph(spark, d).select("src", "dst", "dist", "rank")
+    ends = e.select(F.col("vec_id").alias("dst"), "embedding")
+    later = edges.join(ends, "dst").withColumnRenamed("embedding", "x")
+    earlier = edges.join(ends, "dst").select("src", F.col("rank").alias("before"), F.col("embedding").alias("y"))
+    against = later.join(earlier, "src").where("before < rank").where(V.l2_distance("x", "y") < F.col("dist") - 1e-5).count()
+    return edges.agg(F.countDistinct("src").alias("n_nodes"), F.lit(against).cast("bigint").alias("n_against"), (F.max("rank") <= 8).alias("bounded"))
+
+
+@query("kmeans_holds", "SELECT kind, CAST(count(*) AS BIGINT) AS n_rows, TRUE AS even FROM embeddings, (VALUES ('balanced'), ('lloyd')) k(kind) GROUP BY kind")
+def kmeans_holds(spark, d):
+    """All rows have a cluster; the balanced clustering of the sample is at least as even as one without penalty."""
+    _, x = C.sampled(emb(spark, d), 10_000)
+    even = C.balance(C.auto_balanced(x[:1000], 10).counts) <= C.balance(C.balanced_kmeans(x[:1000], 10).counts)
+    rows = balanced_kmeans(spark, d).agg(F.sum("size").alias("n_rows")).select(F.lit("balanced").alias("kind"), "n_rows", F.lit(bool(even)).alias("even"))
+    plain = lloyd_kmeans(spark, d).agg(F.sum("size").alias("n_rows")).select(F.lit("lloyd").alias("kind"), "n_rows", F.lit(True).alias("even"))
+    return rows.unionByName(plain)
+
+
 @query("latency_percentiles", """SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean,
 quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""")
 def latency_percentiles(spark, d):
@@ -621,10 +948,7 @@ def latency_percentiles(spark, d):
 @query("stored_index_search")
 def stored_index_search(spark, d):
     """Built, saved, loaded and searched; the same rows as ivf_search."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-index-")
-    path = f"{folder}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     index_of(spark, d).save(path)
     return reported(VectorIndex.load(spark, path).search(stated(emb(spark, d)), K))
 

@@ -8,8 +8,9 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.vectors import distance, minus, plus
-from orrery.operators.clustering import assign_postings, select_heads, strided
+from orrery.functions.vectors import distance, dot, doubles, minus, normalized, plus
+from orrery.operators.clustering import assign_postings, prune_postings, select_heads, strided
+from orrery.operators.graph import graph_search, head_graph
 from orrery.operators.knn import nearest_points
 from orrery.operators.quantize import multi_bit, multi_bit_distance
 
@@ -30,6 +31,10 @@ class IndexConfig:
     heads: str = "tree"  # or "strided"
     delta: bool = False  # store vectors beside the postings, as differences to the head
     seed: int = 42
+    square_bound: float = 0.0  # for ip: no stored vector's square is larger
+    head_search: str = "exact"  # or "graph": best first over the heads' graph, from the leaves of their tree
+    head_degree: int = 16
+    head_checks: int = 2048
 
 
 @dataclass
@@ -40,18 +45,25 @@ class VectorIndex:
     vectors: DataFrame
     heads: DataFrame
     postings: DataFrame
+    links: DataFrame | None = None  # edges between heads: src, dst, dist, rank
+    nodes: DataFrame | None = None  # the heads' tree: node_id, parent_id, center_id, is_leaf
 
     @classmethod
     def build(cls, vectors: DataFrame, config: IndexConfig | None = None) -> VectorIndex:
         config = config or IndexConfig()
         rows = vectors.select("vec_id", "embedding")
+        if config.metric == "ip":
+            most = rows.agg(F.max(dot("embedding", "embedding")).alias("n")).first()["n"]
+            config = replace(config, square_bound=float(most or 0.0))
+        placed = placed_by(rows, config)
         if config.heads == "strided":
             heads = strided(rows, config.ratio)
         else:
-            heads = select_heads(rows, config.ratio, config.head_sample, config.seed)
+            heads = select_heads(placed, config.ratio, config.head_sample, config.seed)
+            heads = rows.join(heads.select("vec_id"), "vec_id", "left_semi") if config.metric != "l2" else heads
         # a list may hold what its share of all replicas is, if that is more than the limit
         limit = max(config.posting_limit, round(config.replicas / config.ratio))
-        postings = assign_postings(rows, heads, config.replicas, limit, "l2", spill=True)
+        postings = assign_postings(placed, placed_by(heads, config), config.replicas, limit, "l2", spill=True)
         if config.bits or config.delta:
             centers = heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
             gathered = postings.join(rows, "vec_id").join(F.broadcast(centers) if _small(heads) else centers, "head_id")
@@ -60,21 +72,32 @@ class VectorIndex:
                 postings = postings.join(coded, ["head_id", "vec_id"])
             else:
                 postings = gathered.withColumn("delta", minus("embedding", "centroid")).drop("embedding", "centroid")
-        return cls(config, rows, heads, postings)
+        index = cls(config, rows, heads, postings)
+        if config.head_search == "graph":
+            index.links, index.nodes = head_graph(placed_by(heads, config), config.head_degree, config.seed)
+        return index
 
     def probed(self, queries: DataFrame) -> DataFrame:
-        """query_id, query_vec, head_id, head_rank of the nearest heads."""
-        near = nearest_points(queries.select("vec_id", "embedding"), self.heads, self.config.probes, "l2")
-        q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-        return near.select("query_id", F.col("vec_id").alias("head_id"), F.col("rank").alias("head_rank")).join(q, "query_id")
+        """query_id, head_id, head_rank of the nearest heads."""
+        asked = placed_by(queries.select("vec_id", "embedding"), self.config, query=True)
+        heads = placed_by(self.heads, self.config)
+        if self.config.head_search == "graph":
+            near = graph_search(asked, heads, self.links, self.config.probes, max_checks=self.config.head_checks, tree=self.nodes)
+        else:
+            near = nearest_points(asked, heads, self.config.probes, "l2")
+        return near.select("query_id", F.col("vec_id").alias("head_id"), F.col("rank").alias("head_rank"))
 
     def candidates(self, queries: DataFrame) -> DataFrame:
-        """Distinct candidates of each query, the first max_check in order of head and place."""
-        found = self.probed(queries).join(self.postings, "head_id")
+        """Distinct candidates of each query, the first max_check in order of head and place, with the query's vector.
+
+        Rows are shuffled once, by query, without vectors.
+        """
+        found = self.probed(queries).join(self.postings.drop("delta"), "head_id").repartition("query_id")
         once = Window.partitionBy("query_id", "vec_id").orderBy("head_rank", "pos")
         found = found.withColumn("_n", F.row_number().over(once)).where("_n = 1")
         order = Window.partitionBy("query_id").orderBy("head_rank", "pos")
-        return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= self.config.max_check).drop("_n")
+        found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= self.config.max_check).drop("_n")
+        return found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id")
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """query_id, vec_id, distance, rank.  Coded indexes rank k * rerank by codes, then exactly."""
@@ -82,10 +105,11 @@ class VectorIndex:
         if self.config.bits:
             centers = self.heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
             found = found.join(centers, "head_id")
-            found = found.withColumn("distance", multi_bit_distance(self.config.bits, "ip" if self.config.metric == "ip" else "l2"))
+            found = found.withColumn("distance", multi_bit_distance(self.config.bits, self.config.metric))
             found = _top(found, k * self.config.rerank)
         if self.config.delta and not self.config.bits:
             centers = self.heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
+            found = found.join(self.postings.select("head_id", "vec_id", "delta"), ["head_id", "vec_id"])
             found = found.join(centers, "head_id").withColumn("embedding", plus("delta", "centroid"))
         else:
             found = found.join(self.vectors, "vec_id")
@@ -101,28 +125,44 @@ class VectorIndex:
 
     def search_stats(self, queries: DataFrame) -> DataFrame:
         """query_id, posting lists read, rows and bytes in them, and candidates checked."""
-        read = self.probed(queries).join(self.postings, "head_id")
-        width = F.lit(4) * F.size("query_vec") + 8
-        stats = read.groupBy("query_id").agg(
-            F.countDistinct("head_id").alias("n_postings"), F.count(F.lit(1)).alias("n_rows"), F.sum(width).alias("n_bytes")
+        dims = queries.select(F.col("vec_id").alias("query_id"), (F.lit(4) * F.size("embedding") + 8).alias("width"))
+        read = self.probed(queries).join(self.postings.select("head_id", "vec_id"), "head_id").join(dims, "query_id")
+        return read.groupBy("query_id").agg(
+            F.countDistinct("head_id").alias("n_postings"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum("width").alias("n_bytes"),
+            F.least(F.countDistinct("vec_id"), F.lit(self.config.max_check).cast("bigint")).alias("n_checked"),
         )
-        checked = self.candidates(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_checked"))
-        return stats.join(checked, "query_id")
 
     def posting_stats(self) -> DataFrame:
+        """Lists, their rows, least, most and mean size, and lists a vector."""
         sizes = self.postings.groupBy("head_id").count()
-        return sizes.agg(
-            F.count(F.lit(1)).alias("n_postings"), F.sum("count").alias("n_rows"), F.min("count").alias("least"), F.max("count").alias("most")
-        )
+        held = self.postings.agg(F.countDistinct("vec_id").alias("n_vectors"))  # one row
+        stats = sizes.agg(
+            F.count(F.lit(1)).alias("n_postings"), F.sum("count").alias("n_rows"), F.min("count").alias("least"),
+            F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"),
+        )
+        return stats.crossJoin(F.broadcast(held)).withColumn("replicas", F.round(F.col("n_rows") / F.col("n_vectors"), 6))
+
+    def assigned(self, vectors: DataFrame) -> DataFrame:
+        """head_id, vec_id, head_dist: the nearest heads of rows that the index may not hold yet."""
+        near = nearest_points(placed_by(vectors, self.config), placed_by(self.heads, self.config), self.config.replicas, "l2")
+        return near.select(F.col("vec_id").alias("head_id"), F.col("query_id").alias("vec_id"), F.col("distance").alias("head_dist"))
+
+    def joined(self, new: DataFrame, assigned: DataFrame) -> VectorIndex:
+        """The index with new rows and their heads: a row's nearest head keeps it, the other lists keep their nearest rows, old and new."""
+        if self.config.bits or self.config.delta:
+            raise ValueError("append to an index without codes, then code it")
+        limit = max(self.config.posting_limit, round(self.config.replicas / self.config.ratio))
+        first = Window.partitionBy("vec_id").orderBy("head_dist", "head_id")
+        every = self.postings.drop("pos").unionByName(assigned).withColumn("kept", F.row_number().over(first) == 1)
+        return replace(self, vectors=self.vectors.unionByName(new), postings=prune_postings(every, limit))
 
     def appended(self, vectors: DataFrame) -> VectorIndex:
-        """The index with more rows; its heads stay."""
-        limit = max(self.config.posting_limit, round(self.config.replicas / self.config.ratio))
-        plain = replace(self.config, bits=0, delta=False)
-        if self.config != plain:
-            raise ValueError("append to an index without codes, then code it")
-        more = assign_postings(vectors.select("vec_id", "embedding"), self.heads, self.config.replicas, limit, spill=True)
-        return VectorIndex(self.config, self.vectors.unionByName(vectors.select("vec_id", "embedding")), self.heads, self.postings.unionByName(more))
+        """The index with those rows that it does not hold yet, by id; its heads stay."""
+        rows = vectors.select("vec_id", "embedding").dropDuplicates(["vec_id"])
+        new = rows.join(self.vectors.select("vec_id"), "vec_id", "left_anti")
+        return self.joined(new, self.assigned(new))
 
     def save(self, path: str) -> None:
         """One Parquet table each; postings in files by range of head, so that a probe reads few row groups."""
@@ -130,6 +170,9 @@ class VectorIndex:
         self.heads.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/heads")
         by_head = self.postings.repartitionByRange("head_id").sortWithinPartitions("head_id", "pos")
         by_head.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+        for name, part in (("links", self.links), ("nodes", self.nodes)):
+            if part is not None:
+                part.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
         meta = self.vectors.sparkSession.createDataFrame([(json.dumps(asdict(self.config)),)], "value string")
         meta.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -140,9 +183,26 @@ class VectorIndex:
         tables = [spark.read.parquet(f"{path}/{t}") for t in ("vectors", "heads", "postings")]
         if cache:
             tables[1:] = [t.cache() for t in tables[1:]]
+        if config.head_search == "graph":
+            tables += [spark.read.parquet(f"{path}/{t}") for t in ("links", "nodes")]
         return cls(config, *tables)
 
 
+def placed_by(rows: DataFrame, config: IndexConfig, query: bool = False) -> DataFrame:
+    """vec_id, and as ``embedding`` the vector whose squared L2 distances order as the metric does.
+
+    ``cosine`` compares unit vectors.  ``ip`` gives every stored vector one more element, that makes all squares
+    ``square_bound``, and a query a zero there.
+    """
+    vec = F.col("embedding")
+    if config.metric == "cosine":
+        vec = normalized("embedding")
+    elif config.metric == "ip":
+        rest = F.lit(0.0) if query else F.sqrt(F.greatest(F.lit(config.square_bound) - dot("embedding", "embedding"), F.lit(0.0)))
+        vec = F.concat(doubles("embedding"), F.array(rest))
+    return rows.select("vec_id", vec.alias("embedding"))
+
+
 def _small(heads: DataFrame, most: int = 64 << 20) -> bool:
     """Whether the heads' vectors stay under a broadcast's bound."""
     size = heads.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("n")).first()["n"]

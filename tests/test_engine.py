@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vectors as V
 from orrery.functions.metrics import mean_recall, throughput, truth_rows
 from orrery.operators import clustering as C
+from orrery.operators import graph as G
 from orrery.operators import quantize as Q
 from orrery.operators.knn import knn_join, nearest_points
 from orrery.plans.index import IndexConfig, VectorIndex
@@ -160,6 +161,71 @@ def test_heads_beyond_the_sample_keep_every_row(spark):
     assert index.postings.select("vec_id").distinct().count() == 2000
 
 
+def test_vectors_of_different_lengths_are_refused(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 5.0, 6.0, 7.0, 8.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        knn_join(rows, rows, 1).collect()
+
+
+def test_packed_words_hold_every_code(spark):
+    rng = np.random.default_rng(2)
+    for bits in (1, 2, 4):
+        codes = rng.integers(0, 1 << bits, (3, 70))
+        words = Q.packed_words(codes, bits)
+        assert words.shape[1] == -(-70 * bits // 64)
+        rows = spark.createDataFrame([(w.tolist(),) for w in words], "code array<bigint>")
+        got = rows.select(Q.code_values(bits, F.lit(70)).alias("c")).collect()
+        assert sorted(r["c"] for r in got) == sorted(codes.tolist())
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+def test_recall_on_uneven_norms(spark, metric):
+    rng = np.random.default_rng(4)
+    rows = frame(spark, rng.normal(size=(600, 12)) * rng.uniform(0.2, 5, (600, 1)))
+    index = VectorIndex.build(rows, IndexConfig(metric=metric, ratio=0.1, probes=24, heads="strided", max_check=1 << 20))
+    q = rows.where("vec_id < 20")
+    assert mean_recall(index.search(q, 5), knn_join(q, rows, 5, metric), 5).first()["recall"] >= 0.9
+
+
+def test_an_id_is_added_once(spark):
+    rows = vecfiles.generated(spark, 100, 8, "unit").cache()
+    index = VectorIndex.build(rows.where("vec_id < 80"), IndexConfig(ratio=0.1, heads="strided"))
+    more = index.appended(rows.where("vec_id >= 70").union(rows.where("vec_id = 90")))
+    assert more.vectors.count() == 100 and more.postings.select("vec_id").distinct().count() == 100
+    assert more.postings.count() == more.postings.select("head_id", "vec_id").distinct().count()
+
+
+def test_searches_of_a_line_of_nodes(spark):
+    """A graph where each node knows the next two: single entries, beams and trees walk it."""
+    rows = frame(spark, [[i, 0] for i in range(60)])
+    edges = spark.createDataFrame([(i, j, float((i - j) ** 2), r) for i in range(60) for r, j in enumerate([i - 1, i + 1, i - 2, i + 2], 1) if 0 <= j < 60], G.EDGES)
+    q = rows.where("vec_id = 43")
+    tree = spark.createDataFrame(C.bk_tree(np.arange(60), np.array([[i, 0.0] for i in range(60)])).table(), "node_id bigint, parent_id bigint, center_id bigint, is_leaf boolean")
+    for more in ({"entries": 1, "max_checks": None}, {"entries": 1, "beam": 20}, {"entries": 1, "max_checks": 30, "tree": tree}):
+        got = G.graph_search(q, rows, edges, 3, **more).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [43, 42, 44], more
+    with pytest.raises(ValueError):
+        G.graph_search(q, rows, edges, 3, most_bytes=10)
+
+
+def test_overfull_leaves_are_split_on(spark):
+    rows = vecfiles.generated(spark, 3000, 8, "unit")
+    _, x = C.sampled(rows, 100)
+    sizes = C.memberships(rows, C.split_tree(x, "tp", 50), 50).groupBy("node_id").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 250 and sizes[1] == 3000
+
+
+def test_pruning_across_batches(spark):
+    rows = vecfiles.generated(spark, 120, 6, "unit")
+    edges = G.exact_graph(rows, 20)
+    whole = sorted(map(tuple, G.prune_relative(edges, rows, 6).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, G.prune_relative(edges, rows, 6).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_streamed_rows_are_found(spark, tmp_path):
     rows = vecfiles.generated(spark, 200, 8, "unit").cache()
     VectorIndex.build(rows.where("vec_id < 150"), IndexConfig(ratio=0.1, heads="strided")).save(str(tmp_path / "i"))
