@@ -956,6 +956,14 @@ def stored_index_search(spark, d):
 _sql["stored_index_search"] = _sql["ivf_search"]
 
 
+@query("list_search", f"WITH {index_sql(PROBES, 1 << 20)}, {FOUND} {shown('f')}")
+def list_search(spark, d):
+    """The probed lists read in place, with vectors beside the postings."""
+    i = index_of(spark, d, inline=True, max_check=1 << 20)
+    i.postings = i.postings.join(i.vectors, "vec_id")
+    return reported(i.search(stated(emb(spark, d)), K))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

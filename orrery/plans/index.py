@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import distance, dot, doubles, minus, normalized, plus
 from orrery.operators.clustering import assign_postings, prune_postings, select_heads, strided
 from orrery.operators.graph import graph_search, head_graph
-from orrery.operators.knn import nearest_points
+from orrery.operators.knn import PAIRS, blocks, distances, first_k, matrix, nearest_points, ranked
 from orrery.operators.quantize import multi_bit, multi_bit_distance
 
 
+#: Heads that a scan of the postings is told by name, so that it skips row groups without them.
+HEADS_NAMED = 2000
+
+
 @dataclass(frozen=True)
 class IndexConfig:
     """What a build and a search need; all of it is stored with the index."""
@@ -29,6 +37,7 @@ class IndexConfig:
     rerank: int = 3
     head_sample: int = 100_000
     heads: str = "tree"  # or "strided"
+    inline: bool = False  # store vectors beside the postings, so that a search reads the probed lists alone
     delta: bool = False  # store vectors beside the postings, as differences to the head
     seed: int = 42
     square_bound: float = 0.0  # for ip: no stored vector's square is larger
@@ -47,6 +56,7 @@ class VectorIndex:
     postings: DataFrame
     links: DataFrame | None = None  # edges between heads: src, dst, dist, rank
     nodes: DataFrame | None = None  # the heads' tree: node_id, parent_id, center_id, is_leaf
+    directory: DataFrame | None = None  # head_id, n_rows of each list: what a search must know before it reads lists
 
     @classmethod
     def build(cls, vectors: DataFrame, config: IndexConfig | None = None) -> VectorIndex:
@@ -72,6 +82,8 @@ class VectorIndex:
                 postings = postings.join(coded, ["head_id", "vec_id"])
             else:
                 postings = gathered.withColumn("delta", minus("embedding", "centroid")).drop("embedding", "centroid")
+        elif config.inline:
+            postings = postings.join(rows, "vec_id")
         index = cls(config, rows, heads, postings)
         if config.head_search == "graph":
             index.links, index.nodes = head_graph(placed_by(heads, config), config.head_degree, config.seed)
@@ -92,7 +104,7 @@ class VectorIndex:
 
         Rows are shuffled once, by query, without vectors.
         """
-        found = self.probed(queries).join(self.postings.drop("delta"), "head_id").repartition("query_id")
+        found = self.probed(queries).join(self.postings.drop("delta", "embedding"), "head_id").repartition("query_id")
         once = Window.partitionBy("query_id", "vec_id").orderBy("head_rank", "pos")
         found = found.withColumn("_n", F.row_number().over(once)).where("_n = 1")
         order = Window.partitionBy("query_id").orderBy("head_rank", "pos")
@@ -100,7 +112,51 @@ class VectorIndex:
         return found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id")
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """query_id, vec_id, distance, rank.  Coded indexes rank k * rerank by codes, then exactly."""
+        """query_id, vec_id, distance, rank.  Coded indexes rank k * rerank by codes, then exactly.
+
+        Where vectors stand beside the postings and max_check cuts no query's lists short, lists are read in place.
+        """
+        if self.config.inline and not self.config.bits and not self.config.delta:
+            return self.search_lists(queries, k)
+        return self._search(queries, k)
+
+    def sizes(self) -> DataFrame:
+        """head_id, n_rows: the stored directory, or a count."""
+        return self.directory or self.postings.groupBy("head_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+    def search_lists(self, queries: DataFrame, k: int) -> DataFrame:
+        """Queries go to the lists, block by block: no candidate is shuffled, each task tells its best of each query.
+
+        A block's queries are broadcast (BLOCK_BYTES at most, as in knn) with the heads they probe; beyond ``HEADS_NAMED``
+        heads the scan is not told which, and skips the others row by row.  Queries whose lists hold more than max_check
+        rows, where the order of heads decides, take the other way.
+        """
+        sc, found = self.vectors.sparkSession.sparkContext, []
+        near = self.probed(queries).join(self.sizes(), "head_id")
+        near = near.withColumn("total", F.sum("n_rows").over(Window.partitionBy("query_id"))).persist()
+        few = near.where(F.col("total") <= self.config.max_check)
+        cut = near.where(F.col("total") > self.config.max_check).select(F.col("query_id").alias("vec_id")).distinct()
+        asked = queries.select("vec_id", "embedding").where(F.col("embedding").isNotNull())
+        rows = self.postings.select("head_id", "vec_id", "embedding")
+        whole = asked.join(few.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+        for ids, x in blocks(whole, "vec_id", "embedding"):
+            by_id = np.argsort(ids)
+            block = self.vectors.sparkSession.createDataFrame(pa.table({"query_id": ids[by_id]}))
+            mine = few.join(F.broadcast(block), "query_id").select("query_id", "head_id").toArrow()  # ``probes`` a query
+            heads, query = mine["head_id"].to_numpy(), np.searchsorted(ids[by_id], mine["query_id"].to_numpy())
+            order = np.argsort(heads, kind="stable")
+            shared = sc.broadcast((ids[by_id], x[by_id], heads[order], query[order]))
+            named = np.unique(heads)
+            read = rows.where(F.col("head_id").isin(named.tolist())) if len(named) <= HEADS_NAMED else rows
+            found.append(read.mapInArrow(_in_lists(shared, self.config.metric, k, self.config.replicas), PAIRS))
+        other = self._search(queries.join(cut, "vec_id", "left_semi"), k)
+        if not found:
+            return other
+        best = reduce(DataFrame.unionByName, found).dropDuplicates(["query_id", "vec_id"])
+        best = ranked(best, k).select("query_id", "vec_id", "distance", "rank")
+        return best if cut.isEmpty() else best.unionByName(other)
+
+    def _search(self, queries: DataFrame, k: int) -> DataFrame:
         found = self.candidates(queries)
         if self.config.bits:
             centers = self.heads.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("centroid"))
@@ -155,8 +211,10 @@ class VectorIndex:
             raise ValueError("append to an index without codes, then code it")
         limit = max(self.config.posting_limit, round(self.config.replicas / self.config.ratio))
         first = Window.partitionBy("vec_id").orderBy("head_dist", "head_id")
-        every = self.postings.drop("pos").unionByName(assigned).withColumn("kept", F.row_number().over(first) == 1)
-        return replace(self, vectors=self.vectors.unionByName(new), postings=prune_postings(every, limit))
+        every = self.postings.select("head_id", "vec_id", "head_dist").unionByName(assigned).withColumn("kept", F.row_number().over(first) == 1)
+        postings, vectors = prune_postings(every, limit), self.vectors.unionByName(new)
+        postings = postings.join(vectors, "vec_id") if self.config.inline else postings
+        return replace(self, vectors=vectors, postings=postings, directory=None)
 
     def appended(self, vectors: DataFrame) -> VectorIndex:
         """The index with those rows that it does not hold yet, by id; its heads stay."""
@@ -170,6 +228,7 @@ class VectorIndex:
         self.heads.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/heads")
         by_head = self.postings.repartitionByRange("head_id").sortWithinPartitions("head_id", "pos")
         by_head.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+        self.sizes().coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/directory")
         for name, part in (("links", self.links), ("nodes", self.nodes)):
             if part is not None:
                 part.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
@@ -183,9 +242,38 @@ class VectorIndex:
         tables = [spark.read.parquet(f"{path}/{t}") for t in ("vectors", "heads", "postings")]
         if cache:
             tables[1:] = [t.cache() for t in tables[1:]]
-        if config.head_search == "graph":
-            tables += [spark.read.parquet(f"{path}/{t}") for t in ("links", "nodes")]
-        return cls(config, *tables)
+        links, nodes = (spark.read.parquet(f"{path}/{t}") if config.head_search == "graph" else None for t in ("links", "nodes"))
+        return cls(config, *tables, links, nodes, spark.read.parquet(f"{path}/directory"))
+
+
+def _in_lists(shared, metric: str, k: int, replicas: int):
+    """Rows head_id, vec_id, vector: the best of each query that probes the head.  A vector stands in ``replicas`` lists at most."""
+    most = k * replicas
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, heads, query = shared.value
+        best_d = np.full((len(ids), most), np.inf)
+        best_i = np.full((len(ids), most), -1, np.int64)
+        for batch in batches:
+            head, vec = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(head)) + 1).tolist(), len(head)]
+            rows = None
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                asks = query[np.searchsorted(heads, head[a]) : np.searchsorted(heads, head[a], side="right")] if b > a else ()
+                if not len(asks):
+                    continue
+                rows = matrix(batch.column(2)) if rows is None else rows
+                d = distances(metric, x[asks], rows[a:b])
+                near = first_k(d, vec[a:b], most)
+                d = np.concatenate([best_d[asks], np.take_along_axis(d, near, 1)], axis=1)
+                i = np.concatenate([best_i[asks], vec[a:b][near]], axis=1)
+                order = np.lexsort((i, d), axis=1)[:, :most]
+                best_d[asks], best_i[asks] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        full = np.isfinite(best_d)
+        cols = (np.repeat(ids, most)[full.ravel()], best_i[full], best_d[full])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "distance"])
+
+    return run
 
 
 def placed_by(rows: DataFrame, config: IndexConfig, query: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 """Vector functions, quantizers, file formats, index storage and streaming on small inputs."""
 
+import dataclasses
 import struct
 
 import numpy as np
@@ -187,6 +188,20 @@ def test_recall_on_uneven_norms(spark, metric):
     assert mean_recall(index.search(q, 5), knn_join(q, rows, 5, metric), 5).first()["recall"] >= 0.9
 
 
+@pytest.mark.parametrize("max_check", [1 << 20, 60])
+def test_lists_read_in_place_answer_alike(spark, tmp_path, max_check):
+    rows = vecfiles.generated(spark, 400, 16, "unit")
+    config = IndexConfig(ratio=0.1, probes=6, heads="strided", max_check=max_check)
+    q = rows.where("vec_id < 30")
+    want = sorted(map(tuple, VectorIndex.build(rows, config).search(q, 5).collect()))
+    VectorIndex.build(rows, dataclasses.replace(config, inline=True)).save(str(tmp_path / "i"))
+    index = VectorIndex.load(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, index.search(q, 5).collect())) == want
+    # the scan is told which heads are asked for, and the directory knows all lists
+    plan = index.postings.where(F.col("head_id").isin([10, 20]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(head_id" in plan and index.directory.agg(F.sum("n_rows")).first()[0] == index.postings.count()
+
+
 def test_an_id_is_added_once(spark):
     rows = vecfiles.generated(spark, 100, 8, "unit").cache()
     index = VectorIndex.build(rows.where("vec_id < 80"), IndexConfig(ratio=0.1, heads="strided"))
