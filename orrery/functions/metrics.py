@@ -19,6 +19,14 @@ def mean_recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("recall").alias("recall"))
 
 
+def recall_by_distance(results: DataFrame, truth: DataFrame, k: int, slack: float = 1e-9) -> DataFrame:
+    """query_id, recall: the share of k results that are no farther than the k-th true neighbour, so that ties count."""
+    limit = truth.where(F.col("rank") <= k).groupBy("query_id").agg(F.max("distance").alias("limit"))
+    near = results.where(F.col("rank") <= k).join(limit, "query_id", "right")
+    hit = F.count_if(F.col("distance") <= F.col("limit") + slack)
+    return near.groupBy("query_id").agg((hit / F.lit(float(k))).alias("recall"))
+
+
 def truth_rows(truth: DataFrame) -> DataFrame:
     """Rows query_id, neighbors array<int> as query_id, vec_id, rank."""
     return truth.select("query_id", F.posexplode("neighbors")).select(

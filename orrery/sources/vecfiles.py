@@ -2,9 +2,11 @@
 
 All are little endian.  ``vecbin`` is a header of two u32 (rows, dim), then
 rows of dim elements, f32 or, with option ``dtype=int32``, i32.  ``fvecs`` and
-``ivecs`` repeat the dim as i32 before each row.  Files are read through
-Spark's own readers, so that any store it knows will do; records have one
-length, and a row's id is its place in the file (plus ``idOffset``).
+``ivecs`` repeat the dim as i32 before each row.  The sources and sinks open
+files by path, on a file system that all nodes mount; ``read_fixed`` and
+``read_variable`` take whole files (2 GB each) from any store that Spark reads.
+Records of the sources have one length, and a row's id is its place in the file
+(plus ``idOffset``).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -63,16 +66,19 @@ class _Reader(DataSourceReader):
         n = n if self.most is None else min(n, self.most)
         return [_Rows(a, min(n, a + self.rows_a_part)) for a in range(0, n, self.rows_a_part)] or [_Rows(0, 0)]
 
-    def read(self, partition: _Rows) -> Iterator[tuple]:
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         _, dim, first, step = self._shape()
+        whole = self.type == "<i4"
         with open(self.path, "rb") as f:
             for a in range(partition.start, partition.stop, 1000):
-                b = min(partition.stop, a + 1000)
+                n = min(partition.stop, a + 1000) - a
                 f.seek(first + a * step)
                 # the last row ends without the next one's dim
-                data = f.read((b - a - 1) * step + 4 * dim)
-                for i in range(b - a):
-                    yield self.offset + a + i, np.frombuffer(data, self.type, dim, i * step).tolist()
+                data = np.frombuffer(f.read((n - 1) * step + 4 * dim) + b"\0" * (step - 4 * dim), self.type).reshape(n, step // 4)
+                flat = pa.array(np.ascontiguousarray(data[:, :dim]).ravel(), pa.int32() if whole else pa.float32())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), flat)
+                ids = pa.array(np.arange(a, a + n) + self.offset, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, lists], ["vec_id", "neighbors" if self.kind == "ivecs" or whole else "embedding"])
 
 
 class _Message(WriterCommitMessage):
@@ -165,8 +171,6 @@ def register(spark: SparkSession) -> None:
 
 def read_fixed(spark: SparkSession, path: str, kind: str, dim: int, dtype: str = "f") -> DataFrame:
     """Rows of ``fvecs``/``ivecs`` from any store that Spark reads: whole files as binary, cut in executors."""
-    import pyarrow as pa
-
     whole = dtype == "i"
 
     def cut(batches):
@@ -182,6 +186,24 @@ def read_fixed(spark: SparkSession, path: str, kind: str, dim: int, dtype: str =
     return files.mapInArrow(cut, f"vec_id bigint, v array<{'int' if whole else 'float'}>").select("vec_id", F.col("v").alias("embedding"))
 
 
+def read_variable(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, neighbors of truth files whose records, of any length, are an i32 count and so many i32 ids."""
+
+    def cut(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                raw, at, lists = np.frombuffer(content.as_py(), "<i4"), 0, []
+                while at < len(raw):
+                    if raw[at] < 0 or at + 1 + raw[at] > len(raw):
+                        raise ValueError("the file ends within a record")
+                    lists.append(raw[at + 1 : at + 1 + raw[at]])
+                    at += 1 + int(raw[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lists))), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "neighbors"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(cut, "query_id bigint, neighbors array<int>")
+
+
 def generated(spark: SparkSession, n: int, dim: int, kind: str = "uniform", seed: int = 42) -> DataFrame:
     """Seeded vectors: ``uniform`` in [0, 1), ``unit`` normalised, ``sin`` grid, or ``constant`` rows."""
     from orrery.functions.vectors import normalized

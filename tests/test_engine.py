@@ -8,13 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.functions.metrics import mean_recall, throughput, truth_rows
+from orrery.functions import dictionary
+from orrery.functions.metrics import mean_recall, recall_by_distance, throughput, truth_rows
 from orrery.operators import clustering as C
 from orrery.operators import graph as G
 from orrery.operators import quantize as Q
 from orrery.operators.knn import knn_join, nearest_points
+from orrery.plans import experiments
 from orrery.plans.index import IndexConfig, VectorIndex
-from orrery.sources import vecfiles
+from orrery.sources import hdf5, vecfiles
 from orrery.streaming.ingest import ingest, with_ingested
 
 
@@ -254,5 +256,50 @@ def test_streamed_rows_are_found(spark, tmp_path):
     assert {(r["query_id"], r["vec_id"]) for r in got} == {(3, 3), (160, 160), (199, 199)}
 
 
+def test_truth_of_any_length(spark, tmp_path):
+    path = tmp_path / "t.ibin"
+    path.write_bytes(struct.pack("<iiiiii", 2, 7, 9, 0, 1, 4))
+    got = vecfiles.read_variable(spark, str(path)).orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [(0, [7, 9]), (1, []), (2, [4])]
+
+
+def test_hdf5(spark, tmp_path):
+    path = str(tmp_path / "x.hdf5")
+    try:
+        import h5py
+    except ImportError:
+        with pytest.raises(ImportError, match="h5py"):
+            hdf5.read_hdf5(spark, path, "train")
+        return
+    with h5py.File(path, "w") as f:
+        f["train"], f["neighbors"] = np.arange(12, dtype="f4").reshape(4, 3), np.arange(4, dtype="i4").reshape(2, 2)
+    assert [r["embedding"] for r in hdf5.read_hdf5(spark, path, "train").orderBy("vec_id").collect()][1] == [3, 4, 5]
+    hdf5.convert_hdf5(spark, path, "neighbors", "ivecs", str(tmp_path / "t.ivecs"))
+    assert [r[1] for r in spark.read.format("ivecs").load(str(tmp_path / "t.ivecs")).collect()] == [[0, 1], [2, 3]]
+
+
+def test_dictionaries_round_trip(spark):
+    rows = spark.range(400).select("id", F.encode(F.concat(F.lit("a list of the same kind, number "), F.col("id").cast("string")), "utf-8").alias("v"))
+    rows = rows.union(spark.createDataFrame([(-1, None), (-2, bytearray())], rows.schema))
+    for found in (dictionary.trained(rows, "v"), b""):
+        small = dictionary.compressed(rows, "v", found)
+        assert sorted(map(tuple, dictionary.decompressed(small, "v", found).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert dictionary.trained(rows.limit(0), "v") == b""
+
+
+def test_recall_by_distance(spark):
+    truth = spark.createDataFrame([(0, 1, 0.0, 1), (0, 2, 1.0, 2)], "query_id bigint, vec_id bigint, distance double, rank int")
+    got = spark.createDataFrame([(0, 1, 0.0, 1), (0, 9, 1.0, 2)], truth.schema)
+    assert recall_by_distance(got, truth, 2).first()["recall"] == 1.0
+
+
+def test_matrix_of_settings(spark):
+    rows = vecfiles.generated(spark, 150, 8, "unit")
+    report = experiments.run_matrix(rows, rows.where("vec_id < 4"), 3, probes=(4,), checks=(50,), bits=(0, 4), most=2, ratio=0.1, heads="strided")
+    got = report.collect()
+    assert len(got) == 2 and all(0 < r["recall"] <= 1 and r["p50"] > 0 and r["qps"] > 0 for r in got)
+    assert experiments.markdown(report).count("\n") == 3
+
+
 def test_throughput(spark):
     assert throughput(spark.createDataFrame([(0.5,), (1.5,)], "s double"), "s").first()["qps"] == 1.0
