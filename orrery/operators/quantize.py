@@ -10,14 +10,15 @@ compare.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import dot, doubles, minus, signs, total
-from orrery.operators.knn import matrix
+from orrery.operators.knn import DECIMALS, blocks, distances, first_k, matrix, ranked
 
 #: Constant of the error bound of the 1-bit estimate.
 ERROR_SCALE = 1.9
@@ -55,6 +56,48 @@ def one_bit_ip(query: str = "query_vec", centroid: str = "centroid") -> Column:
     return -dot(centroid, query) + F.col("f_rescale") / 2 * dot(query, x)
 
 
+def _estimated(shared, k: int):
+    """Rows vec_id, embedding, code, f_add, f_rescale, centroid: the ``k`` nearest of each query by estimate, with exact distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = [np.full((len(ids), 0), np.inf), np.full((len(ids), 0), np.inf), np.empty((len(ids), 0), np.int64)]
+        step = max(1, (4 << 20) // max(1, len(ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                vec = part.column(0).to_numpy()
+                x = matrix(part.column(2)) - 0.5
+                f_add, f_rescale = (part.column(i).to_numpy() for i in (3, 4))
+                estimate = np.round(f_add + distances("l2", q, matrix(part.column(5))) + f_rescale * (q @ x.T), DECIMALS)
+                near = first_k(estimate, vec, k)
+                exact = distances("l2", q, matrix(part.column(1)))
+                new = (np.take_along_axis(estimate, near, 1), np.take_along_axis(exact, near, 1), vec[near])
+                best = [np.concatenate([a, b], axis=1) for a, b in zip(best, new, strict=True)]
+                order = np.lexsort((best[2], best[0]), axis=1)[:, :k]
+                best = [np.take_along_axis(b, order, 1) for b in best]
+        cols = (np.repeat(ids, best[0].shape[1]), best[2].ravel(), best[0].ravel(), best[1].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "estimate", "distance"])
+
+    return run
+
+
+def one_bit_search(coded: DataFrame, queries: DataFrame, k: int, rerank: int = 5) -> DataFrame:
+    """query_id, vec_id, distance, rank: of the ``k * rerank`` nearest by the 1-bit estimate, the ``k`` nearest.
+
+    Queries are a stated set, broadcast in blocks; a task tells ``k * rerank`` rows a query, never pairs.
+    """
+    sc, found = coded.sparkSession.sparkContext, []
+    rows = coded.select("vec_id", "embedding", "code", "f_add", "f_rescale", "centroid")
+    schema = "query_id bigint, vec_id bigint, estimate double, distance double"
+    for block in blocks(queries, "vec_id", "embedding"):
+        found.append(rows.mapInArrow(_estimated(sc.broadcast(block), k * rerank), schema))
+    pairs = reduce(DataFrame.unionByName, found) if found else coded.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("query_id").orderBy("estimate", "vec_id")
+    near = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k * rerank)
+    return ranked(near.select("query_id", "vec_id", "distance"), k)
+
+
 def levels(bits: int) -> int:
     return 1 << (bits - 1)
 

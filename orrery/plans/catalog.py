@@ -482,10 +482,7 @@ def onebit_correlation(spark, d):
 (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS n FROM s) WHERE n <= {K * 5}), t AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
 FROM (SELECT query_id, vec_id, {l2('qv', 'v')} AS d FROM w JOIN q USING (query_id) JOIN e USING (vec_id))) {shown('t')} WHERE rank <= {K}""")
 def onebit_rerank(spark, d):
-    by = Window.partitionBy("query_id")
-    near = estimates(spark, d).withColumn("n", F.row_number().over(by.orderBy(F.round("estimate", 9), "vec_id"))).where(F.col("n") <= K * 5)
-    near = near.withColumn("distance", F.round("exact", 9))
-    return reported(near.withColumn("rank", F.row_number().over(by.orderBy("distance", "vec_id"))).where(F.col("rank") <= K))
+    return reported(Q.one_bit_search(coded(spark, d), stated(emb(spark, d)), K, 5))
 
 
 def _multi(name: str, bits: int):
