@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: each applies one operator to its whole table."""
+"""The registered queries of this subpackage: each applies one operator to its whole table; those without a number check a part by SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm import base_queries
 from orrery.llm.common import table
 from orrery.llm.decontamination import op8_decontamination, op8_sql
 from orrery.llm.jaccard_join import op6_ngram_jaccard_join, op6_sql
@@ -71,8 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8,
         "op9_license_scan": op9,
         "op10_toxicity": op10,
+        **base_queries.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": op6_sql(), "op8_decontamination": op8_sql(), "op9_license_scan": op9_sql()}
+    return base_queries.oracle_sql() | {"op6_ngram_jaccard_join": op6_sql(), "op8_decontamination": op8_sql(), "op9_license_scan": op9_sql()}
