@@ -21,7 +21,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,7 +150,13 @@ class Sentence:
         return out
 
 
-Weights = dict[tuple[str, str], float]
+class Weights(dict[tuple[str, str], float]):
+    """Weights by kind and feature."""
+
+    @cached_property
+    def by_feature(self) -> dict[str, tuple[float, ...]]:
+        """A feature's weights for all kinds; fixed once it is asked for."""
+        return {f: tuple(self.get((k, f), 0.0) for k in KINDS) for f in {f for _, f in self}}
 
 
 def _scores(sentence: Sentence, w: Weights) -> dict[int, list[tuple[int, str, float, list[str]]]]:
@@ -163,13 +169,15 @@ def _scores(sentence: Sentence, w: Weights) -> dict[int, list[tuple[int, str, fl
 
 def decode(sentence: Sentence, w: Weights) -> list[Span]:
     """The best segmentation: entities as spans of the sentence's text."""
-    scored, n = _scores(sentence, w), len(sentence.tokens)
+    get, n = w.by_feature.get, len(sentence.tokens)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1]  # one token outside scores nothing
-        for i, kind, score, _ in scored.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, kind)
+        for i, features in sentence.segments.get(j, ()):
+            known = [row for f in features if (row := get(f))]
+            for kind, score in zip(KINDS, map(sum, zip(*known, strict=True)), strict=True):
+                if best[i] + score > best[j]:
+                    best[j], back[j] = best[i] + score, (i, kind)
     spans, j = [], n
     while j:
         if back[j]:
@@ -270,7 +278,7 @@ def generated(n: int, seed: int) -> Iterator[tuple[str, set[Span]]]:
 @lru_cache(maxsize=2)
 def trained(n: int = 500, epochs: int = 3, seed: int = 11) -> Weights:
     """Weights learned from ``n`` generated sentences; Adagrad steps, one a sentence."""
-    w: Weights = {}
+    w = Weights()
     squares: dict[tuple[str, str], float] = defaultdict(float)
     made = [(Sentence(text), gold) for text, gold in generated(n, seed)]
     for k in KINDS:
@@ -280,11 +288,11 @@ def trained(n: int = 500, epochs: int = 3, seed: int = 11) -> Weights:
             for key, g in _gradient(sentence, gold, w).items():
                 squares[key] += g * g
                 w[key] = w.get(key, 0.0) + 0.5 * g / math.sqrt(squares[key] + 1e-3)
-    return {key: round(v, 4) for key, v in w.items() if abs(v) > 1e-3}
+    return Weights({key: round(v, 4) for key, v in w.items() if abs(v) > 1e-3})
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges around digits and ``@``, cut at blanks, joined where they meet."""
+    """Ranges around digits and ``@``, joined where they meet."""
     start = end = -1
     for m in _TRIGGER.finditer(text):
         if end >= 0 and m.start() <= end:
@@ -306,8 +314,17 @@ def added_spans(text: str, base: list[Span], w: Weights) -> list[Span]:
             part = text[a : min(end, a + 1500 + BEFORE + AFTER)]
             found += [(a + x, a + y, k) for x, y, k in decode(Sentence(part), w)]
     out: list[Span] = []
+    taken: list[tuple[int, int]] = []  # base findings, joined where they overlap
+    for a, b, _ in sorted(base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    next_ = 0
     for s in sorted(set(found), key=lambda s: (s[0], -s[1], ORDER[s[2]])):
-        if not any(s[0] < b and a < s[1] for a, b, _ in base) and not (out and s[0] < out[-1][1]):
+        while next_ < len(taken) and taken[next_][1] <= s[0]:
+            next_ += 1
+        if not (next_ < len(taken) and taken[next_][0] < s[1]) and not (out and s[0] < out[-1][1]):
             out.append(s)
     return out
 
