@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -19,8 +21,12 @@ def test_sql_belongs_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_without_the_llm_folders(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+@pytest.mark.parametrize("bytecode", [False, True])
+def test_without_the_llm_folders(tmp_path, gone, bytecode):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
+    if bytecode:
+        (tmp_path / "repo/orrery/llm/__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'knn_l2' in n and 'pipeline' not in n and not [k for k in n if k.startswith('op')]; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={"PATH": "/usr/bin:/bin"}, check=True)
 
