@@ -2,9 +2,11 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains,
 and the longest that fits wins.  URLs that a rule decides are the labelled
-ones: the trees are trained in numpy from at most ``sample_rows`` of them (the
-lowest by hash), and every other URL takes their verdict.  Features and trees
-are built-in column expressions, so that scoring stays in generated code.
+ones: the trees are trained in numpy from at most ``sample_rows`` different ones
+of them (the lowest by hash), and every other URL takes their verdict.  Suffix
+statistics are counts over all labelled rows, joined to every row.  Features
+and trees are built-in column expressions, so that scoring stays in generated
+code.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is judged by the trees; without labelled rows, or with
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import LOWER, UPPER, let
+from orrery.llm.common import LOWER, UPPER, checkpoint, let
 
 ALLOW, BLOCK = "allow", "block"
 # The rules of the contract.
@@ -32,8 +34,10 @@ RULES = (
     (BLOCK, "com", "/de/"),
 )
 SAMPLE_ROWS = 20_000
-#: Suffixes of hosts whose share of blocked URLs is a feature; others get the overall share.
-SUFFIXES = 64
+#: Rows of weight that a suffix's share of blocked URLs takes from the overall share.
+PRIOR = 5
+#: Suffixes whose shares are sent to all tasks; beyond that they are joined by shuffles.
+SUFFIXES_SENT = 100_000
 FEATURES = (
     "length", "depth", "digit_ratio", "entropy", "params", "host_length", "labels", "hyphens", "top_rate", "pair_rate",
 )
@@ -153,47 +157,52 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, r
     return model
 
 
-def suffix_rates(names: list[str], blocked: np.ndarray, most: int = SUFFIXES) -> tuple[dict[str, float], float]:
-    """Smoothed share of blocked URLs of the commonest suffixes, and of all."""
-    every = float((blocked.sum() + 1) / (len(blocked) + 2))
-    counts: dict[str, list[float]] = {}
-    for name, b in zip(names, blocked.tolist(), strict=True):
-        c = counts.setdefault(name, [0.0, 0.0])
-        c[0] += 1
-        c[1] += b
-    top = sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:most]
-    return {name: (b + 5 * every) / (n + 5) for name, (n, b) in top}, every
+def judged_by_rules(pages: DataFrame, id_col: str, url_col: str, rules=RULES) -> DataFrame:
+    """id, _u, host, path, rule, _ruled, _top and _pair (the host's last one and two labels)."""
+    rows = pages.select(F.col(id_col), F.coalesce(F.col(url_col), F.lit("")).alias("_u"))
+    rows = rows.withColumn("host", host_of(F.col("_u"))).withColumn("path", path_of(F.col("_u")))
+    name, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumn("rule", name).withColumn("_ruled", verdict)
+    return rows.withColumn("_top", suffix(F.col("host"), 1)).withColumn("_pair", suffix(F.col("host"), 2))
+
+
+def suffix_rates(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """_top, _top_rate and _pair, _pair_rate: smoothed shares of blocked URLs among all labelled rows; the share of all."""
+    counts = labelled.groupBy("_pair", "_top").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_ruled") == BLOCK).alias("b"))
+    counts = checkpoint(counts)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    every = (total["b"] + 1) / (total["n"] + 2)
+
+    def rates(key: str) -> DataFrame:
+        each = counts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        return each.select(key, ((F.col("b") + PRIOR * every) / (F.col("n") + PRIOR)).alias(f"{key}_rate"))
+
+    return rates("_top"), rates("_pair"), every
 
 
-def _rate(rates: dict[str, float], every: float, key: Column) -> Column:
-    found = F.lit(every)
-    for name, rate in rates.items():
-        found = F.when(key == name, F.lit(rate)).otherwise(found)
-    return found
+def with_features(rows: DataFrame, tops: DataFrame, pairs: DataFrame, every: float, sent: bool) -> DataFrame:
+    """Adds ``_x``, the features in order."""
+    for key, rates in (("_top", tops), ("_pair", pairs)):
+        rows = rows.join(F.broadcast(rates) if sent else rates, key, "left")
+    plain = lexical(F.col("_u"), F.col("host"), F.col("path"))
+    return rows.withColumn("_x", F.array(*plain, *(F.coalesce(F.col(f"{k}_rate"), F.lit(every)) for k in ("_top", "_pair"))))
+
+
+def fit_urls(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Boosted, DataFrame]:
+    """The trees, and all rows with their features."""
+    labelled = rows.where(F.col("_ruled").isNotNull())
+    tops, pairs, every = suffix_rates(labelled)
+    sent = pairs.count() <= SUFFIXES_SENT
+    # the same URL is one example, however often it stands there
+    sample = labelled.select("_u", "host", "path", "_ruled", "_top", "_pair").distinct().orderBy(F.xxhash64("_u"), "_u").limit(sample_rows)
+    got = with_features(sample, tops, pairs, every, sent).orderBy("_u").select("_x", (F.col("_ruled") == BLOCK).cast("double").alias("y")).toArrow()  # at most sample_rows
+    x = np.array(got["_x"].to_pylist(), float).reshape(got.num_rows, len(FEATURES))
+    return fit_boosted(x, got["y"].to_numpy()), with_features(rows, tops, pairs, every, sent)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, host, path, rule, verdict and ``block_score`` (the trees' probability)."""
-    rows = pages.select(F.col(id_col), F.coalesce(F.col(url_col), F.lit("")).alias("_u"))
-    rows = rows.withColumn("host", host_of(F.col("_u"))).withColumn("path", path_of(F.col("_u")))
-    name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("_ruled", verdict)
-    plain = lexical(F.col("_u"), F.col("host"), F.col("path"))
-    sample = rows.where(F.col("_ruled").isNotNull()).select("_u", "host", "path", "_ruled")
-    sample = sample.orderBy(F.xxhash64("_u"), "_u").limit(sample_rows)
-    sample = sample.select(
-        F.array(*plain).alias("x"),
-        suffix(F.col("host"), 1).alias("top"),
-        suffix(F.col("host"), 2).alias("pair"),
-        (F.col("_ruled") == BLOCK).cast("double").alias("y"),
-    ).collect()  # at most sample_rows
-    y = np.array([r["y"] for r in sample])
-    tops, every = suffix_rates([r["top"] for r in sample], y)
-    pairs, _ = suffix_rates([r["pair"] for r in sample], y)
-    x = np.array([[*r["x"], tops.get(r["top"], every), pairs.get(r["pair"], every)] for r in sample])
-    model = fit_boosted(x.reshape(len(sample), len(FEATURES)), y)
-    columns = [*plain, _rate(tops, every, suffix(F.col("host"), 1)), _rate(pairs, every, suffix(F.col("host"), 2))]
-    rows = rows.withColumn("_x", F.array(*columns))
+    model, rows = fit_urls(judged_by_rules(pages, id_col, url_col, rules), sample_rows)
     margin = model.margin([F.get("_x", F.lit(i)) for i in range(len(FEATURES))]) if model.trees else F.lit(model.start)
     rows = rows.withColumn("_m", margin)
     return rows.select(
