@@ -1,7 +1,11 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
 A document's segments are its lines, its paragraphs and the whole text, each
-normalised to lower-case words.  Dice is 2|A and B| / (|A| + |B|) over sets of
+normalised to lower-case words.  Licences that end elsewhere, as those of
+several paragraphs or amid prose, are found by runs of words: where a bigram of
+a template's opening stands, as many words as the template has are compared
+with it.  Of the runs from one word the one that shares most bigrams counts,
+and of each licence that no segment matches the best run.  Dice is 2|A and B| / (|A| + |B|) over sets of
 word bigrams.  It can't reach ``threshold`` unless |A| lies between
 t/(2-t) and (2-t)/t times |B|: templates outside these bounds are not compared,
 and segments that no template can match are dropped before they are cut.  Nor
@@ -11,8 +15,9 @@ and segments without these are not cut at all.
 
 Defined results: null text has no segments; a segment of one word has no
 bigrams and matches nothing; segments that repeat in a document count once;
-of equal coefficients the template that comes first by name is the best; equal
-rows give equal rows; other columns are ignored.
+of equal coefficients the template that comes first by name is the best, and of
+equal runs the first; a run of words is given joined by blanks; equal rows give
+equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ THRESHOLD = 0.8
 WORDS = r"[^\p{L}\p{N}]+"
 #: Words of at most so many letters are no anchors by themselves.
 SHORT = 4
+#: Which bigrams of a template, by place, start a run: some editions change the first words.
+OPENING = (0, 2, 4)
 
 # Wordings of public licences.
 TEMPLATES = {
@@ -111,8 +118,18 @@ for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
     TEMPLATES[f"CC-{_kind}-4.0-short"] = f"Licensed under CC {_kind} 4.0."
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
+def openings(text: str) -> list[tuple[str, int]]:
+    """Bigrams that start a run, with how many words of the template stand before them."""
+    words = template_words(text)
+    return [(f"{words[i]} {words[i + 1]}", i) for i in OPENING if i + 1 < len(words)]
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -146,6 +163,33 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
+def run_starts(words: Column, templates: dict[str, str]) -> Column:
+    """array<struct<k, at>>: which template may stand from which word on."""
+    known = [(gram, k, back) for k, (_, text) in enumerate(sorted(templates.items())) for gram, back in openings(text)]
+    if not known:
+        return F.array().cast("array<struct<k:int,at:int>>")
+    grams = sorted({gram for gram, _, _ in known})
+    heads = sorted({gram.split()[0] for gram in grams})
+    rows = F.array(*(F.struct(F.lit(g).alias("gram"), F.lit(k).alias("k"), F.lit(b).alias("back")) for g, k, b in known))
+
+    def gram_at(i: Column) -> Column:
+        return F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+
+    places = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(places, lambda i: F.when(F.get(words, i).isin(heads), gram_at(i).isin(grams)).otherwise(False))
+
+    def from_hit(i: Column) -> Column:
+        return let(
+            gram_at(i),
+            lambda g: F.transform(
+                F.filter(rows, lambda r: r["gram"] == g),
+                lambda r: F.struct(r["k"].alias("k"), F.greatest(i - r["back"], F.lit(0)).alias("at")),
+            ),
+        )
+
+    return F.array_distinct(F.flatten(F.transform(hits, from_hit)))
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -194,16 +238,58 @@ def scan_licenses(
 
         return F.when(marked(segment), let(words_of(segment), over))
 
-    none = F.array().cast("array<struct<b:struct<dice:double,order:int,license:string>,segment:string>>")
-    scored = cut.select(
-        id_col,
-        F.when(marked(F.col("_t")), F.transform(segments, lambda s: F.struct(judged(s).alias("b"), s.alias("segment")))).otherwise(none).alias("_s"),
-    )
-    hits = F.filter("_s", lambda s: F.coalesce(s["b"]["dice"] >= threshold, F.lit(False)))
-    matches = F.transform(
-        hits, lambda s: F.struct(s["b"]["dice"].alias("dice"), s["b"]["order"].alias("order"), s["b"]["license"].alias("license"), s["segment"].alias("segment"))
-    )
-    return scored.select(id_col, F.sort_array(matches, asc=False).alias("matches"))
+    names = F.array(*map(F.lit, bodies))
+    grams_of = F.array(*(F.array(*map(F.lit, body)) for body in bodies.values()))
+    lengths = F.array(*(F.lit(len(template_words(text))) for _, text in sorted(templates.items())))
+
+    def runs(words: Column) -> Column:
+        """Each run that reaches the threshold: array<struct<shared, dice, order, at>>."""
+
+        def compared(s: Column) -> Column:
+            body = F.get(grams_of, s["k"])
+
+            def with_body(g: Column) -> Column:
+                shared = F.size(F.array_intersect(g, body))
+                dice = 2.0 * shared / (F.size(g) + F.size(body))
+                return F.struct(shared.alias("shared"), dice.alias("dice"), (-s["k"]).alias("order"), s["at"].alias("at"))
+
+            return let(bigrams_of(F.slice(words, s["at"] + 1, F.get(lengths, s["k"]))), with_body)
+
+        return F.filter(F.transform(run_starts(words, templates), compared), lambda r: r["dice"] >= threshold)
+
+    def best_runs(words: Column, found: Column) -> Column:
+        """Of each licence that ``found`` lacks the best run, as matches."""
+
+        def chosen(every: Column) -> Column:
+            from_word = lambda at: F.array_max(F.filter(every, lambda r: r["at"] == at))
+            tops = F.transform(F.array_distinct(F.transform(every, lambda r: r["at"])), from_word)
+            by_dice = F.transform(tops, lambda r: F.struct(r["dice"].alias("dice"), (-r["at"]).alias("back"), r["order"].alias("order")))
+
+            def of_license(rs: Column) -> Column:
+                orders = F.array_distinct(F.transform(rs, lambda r: r["order"]))
+                return F.transform(orders, lambda o: F.array_max(F.filter(rs, lambda r: r["order"] == o)))
+
+            return let(by_dice, of_license)
+
+        def match(r: Column) -> Column:
+            name = F.get(names, -r["order"])
+            run = F.array_join(F.slice(words, 1 - r["back"], F.get(lengths, -r["order"])), " ")
+            return F.struct(r["dice"].alias("dice"), r["order"].alias("order"), name.alias("license"), run.alias("segment"))
+
+        new = F.filter(F.transform(let(runs(words), chosen), match), lambda m: ~F.exists(found, lambda f: f["license"] == m["license"]))
+        return F.concat(found, new)
+
+    def segment_matches(segments: Column) -> Column:
+        scored = F.transform(segments, lambda s: F.struct(judged(s).alias("b"), s.alias("segment")))
+        hits = F.filter(scored, lambda s: F.coalesce(s["b"]["dice"] >= threshold, F.lit(False)))
+        return F.transform(
+            hits, lambda s: F.struct(s["b"]["dice"].alias("dice"), s["b"]["order"].alias("order"), s["b"]["license"].alias("license"), s["segment"].alias("segment"))
+        )
+
+    none = F.array().cast("array<struct<dice:double,order:int,license:string,segment:string>>")
+    whole = let(words_of(F.col("_t")), lambda words: let(segment_matches(segments), lambda found: best_runs(words, found)))
+    matches = F.when(marked(F.col("_t")), whole).otherwise(none)
+    return cut.select(id_col, F.sort_array(matches, asc=False).alias("matches"))
 
 
 def op9_license_scan(docs: DataFrame) -> DataFrame:
@@ -221,11 +307,13 @@ def op9_license_scan(docs: DataFrame) -> DataFrame:
 def op9_sql() -> str:
     """The same over the view ``documents``, in DuckDB's dialect."""
     rows = ", ".join(
-        f"({-k}, '{name}', ['" + "', '".join(template_bigrams(text)) + "'])"
+        f"({-k}, '{name}', ['" + "', '".join(template_bigrams(text)) + f"'], {len(template_words(text))})"
         for k, (name, text) in enumerate(sorted(TEMPLATES.items()))
     )
+    starts = ", ".join(f"('{name}', '{gram}', {back})" for name, text in sorted(TEMPLATES.items()) for gram, back in openings(text))
     return rf"""
-WITH t(ord, license, grams) AS (VALUES {rows}),
+WITH t(ord, license, grams, n) AS (VALUES {rows}),
+o(license, gram, back) AS (VALUES {starts}),
 seg AS (
   SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)),
     string_split_regex(text, '\n[\x20\t\r]*\n'), [text]))) AS segment
@@ -240,9 +328,32 @@ s AS (
   SELECT doc_id, segment, max(struct_pack(d := 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)),
     o := ord, l := license)) AS b
   FROM g, t WHERE len(g.grams) BETWEEN 0.6 * len(t.grams) AND 1.7 * len(t.grams) GROUP BY ALL),
+found AS (SELECT doc_id, b.d AS d, b.o AS o, b.l AS l FROM s WHERE b.d >= {THRESHOLD}),
+wd AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '),
+    lambda x: x <> '') AS words FROM documents),
+pairs AS (
+  SELECT doc_id, unnest(range(1, len(words))) AS p,
+    unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS gram
+  FROM wd WHERE len(words) > 1),
+starts AS (SELECT DISTINCT doc_id, o.license, greatest(p - 1 - back, 0) AS w0 FROM pairs JOIN o USING (gram)),
+runs AS (
+  SELECT doc_id, license, ord, w0, t.grams, list_slice(words, w0 + 1, w0 + n) AS run
+  FROM starts JOIN t USING (license) JOIN wd USING (doc_id)),
+sets AS (
+  SELECT doc_id, license, ord, w0, grams,
+    list_distinct(list_transform(range(1, len(run)), lambda i: run[i] || ' ' || run[i + 1])) AS g FROM runs),
+shared AS (SELECT *, len(list_intersect(g, grams)) AS n FROM sets),
+tops AS (
+  SELECT doc_id, w0, max(struct_pack(n := n, d := 2.0 * n / (len(g) + len(grams)), o := ord, l := license)) AS b
+  FROM shared WHERE 2.0 * n / (len(g) + len(grams)) >= {THRESHOLD} GROUP BY doc_id, w0),
+every AS (
+  SELECT * FROM found UNION ALL
+  SELECT doc_id, max(b.d), b.o, b.l FROM tops
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = tops.doc_id AND f.l = b.l) GROUP BY ALL),
 m AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT b.l, ',' ORDER BY b.l) AS ls, max(b) AS top
-  FROM s WHERE b.d >= {THRESHOLD} GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT l, ',' ORDER BY l) AS ls, max(struct_pack(d := d, o := o, l := l)) AS top
+  FROM every GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_segments, coalesce(ls, '') AS licenses,
   top.l AS best_license, round(top.d, 9) AS best_dice
 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id"""

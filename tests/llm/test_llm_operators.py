@@ -516,6 +516,34 @@ def test_more_licenses_are_found(spark):
     assert [got[i]["best_license"] for i in range(len(lines))] == list(lines.values())
 
 
+def test_licenses_amid_other_text_are_found(spark):
+    """Several paragraphs, comment signs, broken lines, prose on both sides; each also by the SQL."""
+    import duckdb
+
+    t = {k: " ".join(v.split()) for k, v in L.TEMPLATES.items()}
+    prose = "the quick brown fox went over seven hills and came home late at night "
+    header = t["GPL-3.0-header"]
+    at = header.index("This program is distributed")
+    folded = lambda text, n: ["# " + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n)]
+    cases = [
+        ("GPL-3.0-header", "\n".join(["import os", "#", *folded(header[:at], 9), "#", *folded(header[at:], 9), "def run(): pass"])),
+        ("GPL-3.0-header", prose + "\n" + header[:at].replace("This program", "Some Tool") + "\n\n" + header[at:] + "\n" + prose * 3),
+        ("MIT-disclaimer", "Copyright 2020 A. Person\n" + "\n".join(folded(t["MIT-disclaimer"], 11)) + "\n" + prose * 9),
+        ("Apache-2.0-header", "\n".join([*folded(t["Apache-2.0-header"], 10), "package x;", prose])),
+        ("CC-BY-NC-4.0-notice", prose + t["CC-BY-NC-4.0-notice"] + " " + prose),
+        ("CC-BY-NC-SA-4.0-notice", prose + t["CC-BY-NC-SA-4.0-notice"] + " " + prose),
+        ("MIT-notice", prose + "Released\nunder the MIT license, " + prose),
+        (None, prose + "released under the stars " + prose + "licensed under no terms of the Apache tribe " + prose),
+    ]
+    docs = frame(spark, [text for _, text in cases] + ODD)
+    got = L.op9_license_scan(docs).collect()
+    names = {r["doc_id"]: r["best_license"] for r in got}
+    assert [names[i] for i in range(len(cases))] == [name for name, _ in cases]
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(oracle_sql()["op9_license_scan"]).fetchall(), key=str)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
