@@ -4,8 +4,9 @@ The field labels whole segments of at most ``REACH`` tokens.  A segment's
 features look at all of it at once: its shape, digit groups, separators, check
 sums, and the words before it.  Weights are learned by gradient ascent on the
 conditional likelihood of seeded, generated sentences; decoding is dynamic
-programming over end positions and types, with bounded segments, so boundaries
-and types are chosen jointly.  It runs in the windows around digits and ``@``,
+programming over end positions and types, with segments bounded in tokens and
+digits, so boundaries and types are chosen jointly.  Segments of like
+characters, digits standing for any digit, are scored once a worker.  It runs in the windows around digits and ``@``,
 the only places where its types can begin.  Its segments that no base finding
 overlaps are added.
 
@@ -20,7 +21,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import pyarrow as pa
@@ -102,61 +103,128 @@ _CUES = {
 }
 
 
+#: Digits and letters by class, as all features but the checks of digits see them.
+_CLASS = str.maketrans({c: "0" for c in "0123456789"} | {chr(c): "a" if c > 96 else "A" for c in (*range(65, 91), *range(97, 123))})
+#: Digits of the longest entity, by whether it starts with a letter (an IBAN) or not (a card).
+MOST_DIGITS = {True: 34, False: 19}
+#: Scores of segments that a worker keeps; beyond that it starts anew.
+CACHED_SCORES = 50_000
+
+
+def _kind(t: str) -> str:
+    return "d" if t[0] in "0123456789" else "a" if t[0].isalpha() else t
+
+
+def _touching(c: str) -> str:
+    return "d" if c.isdigit() else "a" if c.isalpha() else c
+
+
+def own_features(text: str) -> list[str]:
+    """Of a segment by itself; all but ``checks`` see the classes of its characters only."""
+    groups = [len(g) for g in re.findall("[0-9]+", text)]
+    shape = re.sub(r"(.)\1+", r"\1+", "".join("d" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in text))
+    signs = "".join(sorted(set(c for c in text if not c.isalnum())))
+    out = ["bias", f"shape={shape}", f"signs={signs}", f"groups={len(groups)}", f"n={min(sum(groups), 40)}", f"sizes={','.join(map(str, groups[:6]))}"]
+    out += [f"first={_kind(text[0])}", f"letters={any(c.isalpha() for c in text)}"]
+    if "@" in text:
+        out.append(f"mail={bool(re.fullmatch(r'[^@ ]+@[^@ ]+[.][^@ ]+', text))}")
+    if text[0].isalpha():
+        out.append(f"iban={bool(re.fullmatch(r'[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}', text))}")
+    return out
+
+
+def checked(text: str) -> tuple[bool, bool]:
+    """Whether ``checks`` looks at the digits of such a segment: at their Luhn sum, as octets."""
+    groups = re.findall("[0-9]+", text)
+    luhn_ = 12 <= sum(map(len, groups)) <= 19 and not any(c.isalpha() for c in text)
+    return luhn_, len(groups) == 4 and {c for c in text if not c.isalnum()} == {"."}
+
+
+def checks(text: str, which: tuple[bool, bool]) -> list[str]:
+    out = [f"luhn={luhn(_digits(text))}"] if which[0] else []
+    if which[1]:
+        out.append(f"octets={all(0 <= int(p) <= 255 for p in text.split('.') if len(p) < 5 and p.isascii() and p.isdigit())}")
+    return out
+
+
 class Sentence:
     """Tokens with their places, and the segments that may be entities."""
 
     def __init__(self, text: str):
         self.text = text
-        places = [m.span() for m in _TOKEN.finditer(text)]
-        self.places = places
+        self.places = places = [m.span() for m in _TOKEN.finditer(text)]
         self.tokens = [text[a:b] for a, b in places]
-        kinds = ["d" if t[0] in "0123456789" else "a" if t[0].isalpha() else t for t in self.tokens]
-        self.segments: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+        kinds = [_kind(t) for t in self.tokens]
+        #: by the token after a segment, its first tokens in order
+        self.starts: dict[int, list[int]] = defaultdict(list)
         for i, k in enumerate(kinds):
             if k not in ("d", "a", "+", "("):
                 continue
+            told, room = False, MOST_DIGITS[k == "a"]
             for j in range(i, min(len(kinds), i + REACH)):
                 if j > i and places[j][0] - places[j - 1][1] > 1:
                     break  # entities hold single blanks only
-                if kinds[j] in ("d", "a") and ("d" in kinds[i : j + 1] or "@" in kinds[i : j + 1]):
-                    self.segments[j + 1].append((i, self._features(i, j, kinds)))
+                if kinds[j] == "d" and (room := room - len(self.tokens[j])) < 0:
+                    break
+                told = told or kinds[j] in ("d", "@")
+                if told and kinds[j] in ("d", "a"):
+                    self.starts[j + 1].append(i)
+
+    @cached_property
+    def segments(self) -> dict[int, list[tuple[int, list[str]]]]:
+        """The segments with all their features."""
+        return {end: [(i, self.features(i, end - 1)) for i in starts] for end, starts in self.starts.items()}
 
-    def _features(self, i: int, j: int, kinds: list[str]) -> list[str]:
+    def features(self, i: int, j: int) -> list[str]:
         text = self.text[self.places[i][0] : self.places[j][1]]
-        groups = [len(t) for t, k in zip(self.tokens[i : j + 1], kinds[i : j + 1], strict=True) if k == "d"]
-        shape = re.sub(r"(.)\1+", r"\1+", "".join("d" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in text))
-        n = sum(groups)
-        signs = "".join(sorted(set(c for c in text if not c.isalnum())))
-        out = ["bias", f"shape={shape}", f"signs={signs}", f"groups={len(groups)}", f"n={min(n, 40)}", f"sizes={','.join(map(str, groups[:6]))}"]
-        out += [f"first={kinds[i]}", f"letters={any(c.isalpha() for c in text)}"]
-        if 12 <= n <= 19 and not any(c.isalpha() for c in text):
-            out.append(f"luhn={luhn(_digits(text))}")
-        if len(groups) == 4 and signs == ".":
-            out.append(f"octets={all(0 <= int(p) <= 255 for p in text.split('.') if len(p) < 5 and p.isascii() and p.isdigit())}")
-        if "@" in text:
-            out.append(f"mail={bool(re.fullmatch(r'[^@ ]+@[^@ ]+[.][^@ ]+', text))}")
-        if kinds[i] == "a":
-            out.append(f"iban={bool(re.fullmatch(r'[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}', text))}")
+        return [*own_features(text), *checks(text, checked(text)), *self.before(i), *self.after(j)]
+
+    # what touches the segment tells whether it starts too late or ends too early
+
+    def before(self, i: int) -> tuple[str, ...]:
         near = {t.lower() for t in self.tokens[max(0, i - 4) : i]}
-        out += [f"cue={k}" for k, words in _CUES.items() if near & words]
-        # what touches the segment tells whether it ends too early
-        a, b = self.places[i][0], self.places[j][1]
-        left, right = self.text[a - 1 : a], self.text[b : b + 1]
-        out += [f"left={'d' if left.isdigit() else 'a' if left.isalpha() else left}", f"right={'d' if right.isdigit() else 'a' if right.isalpha() else right}"]
-        following = self.tokens[j + 1][0] if j + 1 < len(self.tokens) and self.places[j + 1][0] - b <= 1 else ""
-        out.append(f"next={'d' if following.isdigit() else 'a' if following.isalpha() else following}")
-        before = self.tokens[i - 1][-1] if i and a - self.places[i - 1][1] <= 1 else ""
-        out.append(f"previous={'d' if before.isdigit() else 'a' if before.isalpha() else before}")
-        return out
+        a = self.places[i][0]
+        last = self.tokens[i - 1][-1] if i and a - self.places[i - 1][1] <= 1 else ""
+        cues = [f"cue={k}" for k, words in _CUES.items() if near & words]
+        return (*cues, f"left={_touching(self.text[max(0, a - 1) : a])}", f"previous={_touching(last)}")
+
+    def after(self, j: int) -> tuple[str, ...]:
+        b = self.places[j][1]
+        first = self.tokens[j + 1][0] if j + 1 < len(self.tokens) and self.places[j + 1][0] - b <= 1 else ""
+        return f"right={_touching(self.text[b : b + 1])}", f"next={_touching(first)}"
 
 
 class Weights(dict[tuple[str, str], float]):
-    """Weights by kind and feature."""
+    """Weights by kind and feature, and what segments score by them in units of 0.0001."""
 
     @cached_property
-    def by_feature(self) -> dict[str, tuple[float, ...]]:
+    def by_feature(self) -> dict[str, tuple[int, ...]]:
         """A feature's weights for all kinds; fixed once it is asked for."""
-        return {f: tuple(self.get((k, f), 0.0) for k in KINDS) for f in {f for _, f in self}}
+        return {f: tuple(round(10_000 * self.get((k, f), 0.0)) for k in KINDS) for f in {f for _, f in self}}
+
+    @cached_property
+    def _kept(self) -> tuple[dict, dict]:
+        return {}, {}
+
+    def total(self, features: Iterable[str]) -> tuple[int, ...]:
+        rows = [row for f in features if (row := self.by_feature.get(f))]
+        return tuple(map(sum, zip(*rows, strict=True))) if rows else (0,) * len(KINDS)
+
+    def best(self, text: str, classes: str, before: tuple[str, ...], after: tuple[str, ...]) -> tuple[int, str]:
+        """The best kind's score, of equal ones the first; segments that look alike are scored once."""
+        owns, scores = self._kept
+        if classes not in owns:
+            if len(owns) >= CACHED_SCORES:
+                owns.clear()
+            owns[classes] = self.total(own_features(classes)), checked(classes)
+        own, which = owns[classes]
+        more = tuple(checks(text, which)) if any(which) else ()
+        if (key := (classes, more, before, after)) not in scores:
+            if len(scores) >= CACHED_SCORES:
+                scores.clear()
+            sums = tuple(map(sum, zip(own, self.total((*more, *before, *after)), strict=True)))
+            scores[key] = max(sums), KINDS[sums.index(max(sums))]
+        return scores[key]
 
 
 def _scores(sentence: Sentence, w: Weights) -> dict[int, list[tuple[int, str, float, list[str]]]]:
@@ -169,13 +237,16 @@ def _scores(sentence: Sentence, w: Weights) -> dict[int, list[tuple[int, str, fl
 
 def decode(sentence: Sentence, w: Weights) -> list[Span]:
     """The best segmentation: entities as spans of the sentence's text."""
-    get, n = w.by_feature.get, len(sentence.tokens)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    n, places, classes = len(sentence.tokens), sentence.places, sentence.text.translate(_CLASS)
+    best, back = [0] * (n + 1), [None] * (n + 1)
+    before = {i: sentence.before(i) for i in {i for starts in sentence.starts.values() for i in starts}}
     for j in range(1, n + 1):
         best[j] = best[j - 1]  # one token outside scores nothing
-        for i, features in sentence.segments.get(j, ()):
-            known = [row for f in features if (row := get(f))]
-            for kind, score in zip(KINDS, map(sum, zip(*known, strict=True)), strict=True):
+        if starts := sentence.starts.get(j):
+            after, b = sentence.after(j - 1), places[j - 1][1]
+            for i in starts:
+                a = places[i][0]
+                score, kind = w.best(sentence.text[a:b], classes[a:b], before[i], after)
                 if best[i] + score > best[j]:
                     best[j], back[j] = best[i] + score, (i, kind)
     spans, j = [], n

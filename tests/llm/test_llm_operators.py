@@ -170,6 +170,25 @@ def test_personal_data_matches_the_patterns(spark, texts):
         assert set(filter(None, pii.joined(base).split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_decoding_scores_every_segment(spark):
+    """Against a plain search over all segments by all their features: sentences, tables of numbers, odd texts."""
+    w, rng = pii.trained(), random.Random(5)
+    texts = [text for text, _ in pii.generated(60, 78)] + [t for t in ODD if t]
+    texts += [" ".join(str(rng.randint(0, 10 ** rng.randint(1, 7))) for _ in range(60)) for _ in range(5)]
+    texts += ["\n".join(",".join(f"{rng.random() * 100:.2f}" for _ in range(5)) for _ in range(9)), "4111 1111 1111 1111 4111-1111-1111-1112 1.2.3.999"]
+    for text in texts:
+        sentence = pii.Sentence(text)
+        best: list[tuple[int, list]] = [(0, [])]
+        for j in range(1, len(sentence.tokens) + 1):
+            best.append(best[j - 1])
+            for i, features in sentence.segments.get(j, ()):
+                for kind in pii.KINDS:
+                    score = best[i][0] + sum(round(10_000 * w.get((kind, f), 0.0)) for f in features)
+                    if score > best[j][0]:
+                        best[j] = score, [*best[i][1], (sentence.places[i][0], sentence.places[j - 1][1], kind)]
+        assert pii.decode(sentence, w) == best[-1][1]
+
+
 def test_field_finds_generated_entities():
     w, right, n, wrong = pii.trained(), 0, 0, 0
     for text, gold in pii.generated(100, 77):
