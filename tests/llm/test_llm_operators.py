@@ -170,7 +170,7 @@ def test_personal_data_matches_the_patterns(spark, texts):
         assert set(filter(None, pii.joined(base).split(","))) <= set(got[i]["spans"].split(","))
 
 
-def test_decoding_scores_every_segment(spark):
+def test_decoding_scores_every_segment():
     """Against a plain search over all segments by all their features: sentences, tables of numbers, odd texts."""
     w, rng = pii.trained(), random.Random(5)
     texts = [text for text, _ in pii.generated(60, 78)] + [t for t in ODD if t]
