@@ -1,8 +1,10 @@
 """The classifier learns from a random start; its scores against a plain forward pass."""
 
 import random
+import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orrery.llm import toxicity as T
 
@@ -104,6 +106,55 @@ def test_repeats_conflicts_and_nothing(spark):
     assert T.op10_toxicity(docs, spark.createDataFrame([], LABELS)).where("score <> 0.5").count() == 0
 
 
+def test_training_in_pieces_is_that_of_the_whole(monkeypatch):
+    rows = pair_rows(200)
+    docs, y = [w for w, _ in rows], np.array([t for _, t in rows], float)
+    whole = T.train(docs, y, temperatures=(1.0, None))
+    monkeypatch.setattr(T, "PIECE_WORDS", 50)
+    pieces = T.train(docs, y, temperatures=(1.0, None))
+    assert np.abs(whole.scores(docs, whole.tables()) - pieces.scores(docs, pieces.tables())).max() < 1e-2
+
+
+def test_every_labelled_row_counts(spark):
+    """What only rows beyond the first 10 000 by hash show is learned, and calibrates the threshold of a language of their own."""
+    ids = [r["id"] for r in spark.range(14_000).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("id"), "id").collect()]
+    late, rng = set(ids[10_000:]), random.Random(6)
+    assert len(late) > 1000
+    common = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(50)]
+    rows = []
+    for i in range(14_000):
+        w, toxic = rng.choices(common, k=8), int(rng.random() < 0.3)
+        if toxic:
+            w[rng.randrange(8)] = "zvile" if i in late else "zgrim"
+        rows.append((i, " ".join(w), "xx" if i in late else "en", toxic))
+    rows += [(20_000, "zvile", "en", None), (20_001, "zgrim", "en", None), (20_002, common[0], "en", None)]
+    docs = spark.createDataFrame([r[:3] for r in rows], DOCS)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], LABELS)
+    model, limits = T.fit(docs, labels)
+    asked = [T.word_buckets(" ".join([w, *common[:7]])) for w in ("zvile", "zgrim", common[8])]
+    scores = model.scores(asked, model.tables())
+    assert scores[0] > 0.8 and scores[1] > 0.8 and scores[2] < 0.2
+    assert set(limits) <= {"en", "xx"}
+    own = [r for r in rows[:14_000] if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    held = model.scores([T.word_buckets(r[1]) for r in own], model.tables())
+    assert np.mean((held >= 0.5) == np.array([r[3] for r in own])) > 0.98
+
+
+def test_cells_have_the_threshold_of_their_rows():
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random(500), 2)
+    y = (rng.random(500) < scores).astype(float)
+    cells = np.unique(scores)
+    at = [scores == c for c in cells]
+    order = np.argsort(-scores, kind="stable")
+    last = np.flatnonzero(np.diff(scores[order], append=-1))  # all rows of a score or none
+    f1 = (2 * np.cumsum(y[order]) / (np.arange(1, 501) + y.sum()))[last]
+    k = last[f1.argmax()]
+    want = (scores[order[k]] + scores[order[k + 1]]) / 2
+    got = T.best_threshold(cells, np.array([y[a].sum() for a in at]), np.array([a.sum() for a in at]), cells)
+    assert got == np.clip(want, *T.THRESHOLD_RANGE)
+
+
 def test_the_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "a b c d", "en") for i in range(40)], DOCS)
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], LABELS)
