@@ -36,8 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that one task ranks, about.
 ROWS_A_GROUP = 250_000
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 150_000
+#: Words whose ids a worker keeps; beyond that only those of the texts at hand stay.
+CACHED_WORDS = 250_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 Run = tuple[int, int, int, int, int, int]
@@ -92,7 +92,9 @@ class WordTokenizer:
             if m := PLAIN.fullmatch(text):
                 core, signs = m.groups()
                 if core not in cores:
-                    cores[core] = array("I", [t.id for t in model(core.translate(self.letters))]).tobytes()
+                    # the word may be known without its signs
+                    known = cache.get(w[: len(w) - len(signs)]) if signs else None
+                    cores[core] = known or array("I", [t.id for t in model(core if core.isascii() else core.translate(self.letters))]).tobytes()
                 if signs not in self.signs:
                     if len(self.signs) > CACHED_WORDS:
                         self.signs = {"": b""}
@@ -109,9 +111,10 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         # small letters come to the same ids, but for the names of special tokens
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        here = {w for ws in words for w in ws}
         if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        self._learn({w for ws in words for w in ws}.difference(self.cache))
+            self.cache = {w: self.cache[w] for w in here.intersection(self.cache)}
+        self._learn(here.difference(self.cache))
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
